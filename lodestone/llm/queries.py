@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality, rules, simhash, tokens, toxicity, warc
+from . import pii, quality, rules, simhash, tokens, toxicity, urls, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
+#: The rules that the registered query is asked to apply.
+URL_RULES = (
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +39,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_token_counts": op4_token_counts,
     "op5_warc": op5_warc,
+    "op6_url_filter": op6_url_filter,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
@@ -58,4 +71,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op5_warc": warc.ORACLE,
+    "op6_url_filter": urls.oracle(URL_RULES),
 }
