@@ -49,6 +49,11 @@ def fold(key: Column, parts: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % parts
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once for each row however often use() names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def words(text: Column) -> Column:
     """The array of words of a text; null texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")
