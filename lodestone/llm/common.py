@@ -39,6 +39,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few small columns that may be broadcast: some 50 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df marked for broadcast if it was counted to have few enough rows; else joins shuffle it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -14,7 +14,7 @@ Texts are lower-cased and cut into words of letters and digits; shingles are fiv
 4. Verification.  Weighted Jaccard similarity of the two bags of shingles, each weighing as often as it
    occurs: the sum of the lesser counts over the sum of the greater.
 
-The benchmark's shingles are broadcast only if their counted size is below BROADCAST_ROWS; beyond
+The benchmark's shingles are broadcast only if their counted size is below common.BROADCAST_ROWS; beyond
 that the join is by shuffle.  The same holds for the keys of documents found.
 
 Defined results: null and empty texts match nothing; items of fewer than five words are too short
@@ -29,12 +29,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import let, sized, written
 
 WIDTH = 5
 BLOCKS, BLOCK_RADIUS = 5, 3
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
-BROADCAST_ROWS = 1_000_000  # rows of under 50 bytes
 
 
 def normal_words(text: Column) -> Column:
@@ -105,11 +104,6 @@ def _tagged(k: int):
     return lambda v: F.struct(F.lit(k).alias("block"), v.alias("value"))
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    """df marked for broadcast if it was counted to have few enough rows."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def items(benchmark: DataFrame) -> DataFrame:
     """Distinct items long enough to search: item (smallest id), ids, n_words, hashes."""
     cut = benchmark.select("item_id", normal_words(F.col("text")).alias("words")).where(F.size("words") >= WIDTH)
@@ -138,17 +132,17 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame
 
     keyed = _keyed(docs)
     scanned = keyed.select("k1", "k2", F.explode(shingles(normal_words(F.col("text")))).alias("h"))
-    pairs = written(scanned.join(_sized(rare, total), "h").select("k1", "k2", "item_key").distinct(), "seeded")
+    pairs = written(scanned.join(sized(rare, total), "h").select("k1", "k2", "item_key").distinct(), "seeded")
 
     # only documents with a seed are read again and cut into words once more
     seeded = pairs.select("k1", "k2").distinct()
     few = seeded.count()
-    suspects = keyed.join(_sized(seeded, few), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    suspects = keyed.join(sized(seeded, few), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     suspects = written(suspects.select("doc_id", "k1", "k2", shingles(normal_words(F.col("text"))).alias("hashes")), "suspects")
 
     places = suspects.select("k1", "k2", F.size("hashes").alias("size"), F.posexplode("hashes").alias("place", "h"))
     aligned = (
-        places.join(_sized(parts, total), "h").join(pairs, ["k1", "k2", "item_key"])
+        places.join(sized(parts, total), "h").join(pairs, ["k1", "k2", "item_key"])
         # start of the window among the document's shingles, moved inside it
         .select("k1", "k2", "n", F.greatest(F.lit(0), F.least(F.col("place") - F.col("at"), F.col("size") - F.col("n"))).alias("start"))
         .distinct()
@@ -184,7 +178,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) ->
     found = written(find(docs, benchmark, least).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct(), "leaks")
     few = found.count()
     k1, k2 = F.xxhash64(docs["doc_id"], docs["text"]), F.hash(docs["text"], docs["doc_id"])
-    return docs.join(_sized(found, few), (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")
+    return docs.join(sized(found, few), (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
