@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sized, written
 from .components import components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -138,14 +138,40 @@ def links(points: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 3) -> DataFrame:
-    """doc_id, fingerprint (signed), component_id: the smallest doc_id that links reach."""
-    marked = written(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).drop("text"), "fingerprints")
+    """doc_id, text_hash, fingerprint (signed), root, component_id of every document.
+
+    root is a fingerprint that names the component; component_id is the smallest doc_id in it.
+    """
+    light = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
+    marked = written(with_fingerprint(light).drop("text"), "fingerprints")
     points = marked.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least_id"))
     points = written(points, "points")
     classes = components(links(points.select("fp"), radius))
     rooted = points.join(classes, points["fp"] == classes["node"], "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root")
     )
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return marked.join(named, marked["fingerprint"] == named["fp"]).select("doc_id", "fingerprint", "component_id")
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    return marked.join(named, marked["fingerprint"] == named["fp"]).select("doc_id", "text_hash", "fingerprint", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """docs, same columns, with one row of each component: that with the smallest doc_id.
+
+    Of rows with equal doc_ids in a component the one with the smaller text hash stays, of rows
+    equal in both the one that Spark meets first; a row without doc_id stays only if no row of its
+    component has one.  The choice is a table of ids and hashes, so texts are shuffled
+    only if that is too large to broadcast, or where a chosen id and text occur more than once.
+    """
+    found = written(near_duplicates(docs, radius=radius).select("doc_id", "text_hash", "root"), "near-duplicates")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f")
+    kept = found.groupBy("root").agg(first).select(F.col("f.doc_id").alias("__id"), F.col("f.text_hash").alias("__hash"))
+    n = found.groupBy(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__h")).agg(F.count(F.lit(1)).alias("__n"))
+    kept = kept.join(n, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h"))).select("__id", "__hash", "__n")
+    kept = written(kept, "kept")
+    chosen = docs.withColumn("__text_hash", F.xxhash64("text")).join(
+        sized(kept, kept.count()), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    )
+    once = chosen.where("__n = 1").select(*docs.columns)
+    again = chosen.where("__n > 1").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    return once.unionByName(again)
