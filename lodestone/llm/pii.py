@@ -211,7 +211,7 @@ def train(scanned: DataFrame, precision: float = 0.9) -> dict[str, boosting.Boos
 
 
 def select(scanned: DataFrame, models: dict[str, boosting.Boosted]) -> DataFrame:
-    """scanned with ``spans``: base spans and selected candidates as (start, kind, end), in order."""
+    """scanned with ``__spans``: base spans and selected candidates as (start, kind, end), in order."""
 
     def scored(c: Column) -> Column:
         features = [c[f] for f in FEATURES]
@@ -231,7 +231,7 @@ def select(scanned: DataFrame, models: dict[str, boosting.Boosted]) -> DataFrame
 
     best = F.filter("__free", lambda c: ~F.exists("__free", lambda d: meets(c, d) & better(d, c)))
     plain = F.transform(best, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-    return free.withColumn("spans", F.array_sort(F.concat("__base", plain))).drop("__likely", "__free", "__candidates")
+    return free.withColumn("__spans", F.array_sort(F.concat("__base", plain))).drop("__likely", "__free", "__candidates")
 
 
 def joined(spans: Column) -> Column:
@@ -241,7 +241,7 @@ def joined(spans: Column) -> Column:
 
 
 def detect(docs: DataFrame, text: str = "text", precision: float = 0.9) -> DataFrame:
-    """docs without the text, with ``__base`` and ``spans``."""
+    """docs without the text, with ``__base`` and ``__spans``."""
     scanned = written(scan(docs, text).drop(text), "pii")
     return select(scanned, train(scanned, precision))
 
@@ -265,7 +265,7 @@ def redact(docs: DataFrame, text: str = "text", precision: float = 0.9) -> DataF
     """docs, same columns and rows, with personal data in the text replaced; null texts stay null."""
     scanned = written(scan(docs, text), "pii")
     found = select(scanned, train(scanned, precision))
-    return found.withColumn(text, redacted(F.col(text), F.col("spans"))).select(*docs.columns)
+    return found.withColumn(text, redacted(F.col(text), F.col("__spans"))).select(*docs.columns)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -276,4 +276,4 @@ def personal_data(docs: DataFrame) -> DataFrame:
         which = BASE.index(kind)
         return F.size(F.filter("__base", lambda s: s["kind"] == which)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, BASE), F.sha2(joined(F.col("__base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, BASE), F.sha2(joined(F.col("__base")), 256).alias("base_sha256"), joined(F.col("__spans")).alias("spans"))

@@ -50,8 +50,8 @@ def train(sample: DataFrame, bits: int = BITS, epochs: int = 4) -> np.ndarray:
     return weights
 
 
-def score_documents(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
-    """Every column of docs (names of its own win) and ``score``, the probability of label 1."""
+def score_documents(docs: DataFrame, weights: np.ndarray, bits: int = BITS, name: str = "score") -> DataFrame:
+    """Every column of docs and the probability of label 1 under ``name``, which replaces a column so named."""
     shipped = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
@@ -63,7 +63,7 @@ def score_documents(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> D
                 out[first : first + len(group)] = linear.score(group, w, bits)
             yield pd.Series(out)
 
-    return docs.withColumn("score", probability(F.col("text")))
+    return docs.withColumn(name, probability(F.col("text")))
 
 
 def quality(docs: DataFrame, labels: DataFrame, train_rows: int = 4000, parts: int = 3, held_out: int = 1) -> DataFrame:

@@ -24,17 +24,18 @@ from .common import Words, groups, mix
 
 LEVEL = 3
 CHUNK = 2048
-#: (up to this many bytes, least ratio, greatest ratio)
+#: (up to this many bytes, least ratio, greatest ratio).  Random base-64 text has 4/3 at any length,
+#: which prose exceeds from some hundred bytes on.
 BANDS = (
     (128, 0.0, 2.0),
-    (256, 0.75, 2.4),
-    (512, 0.9, 2.7),
-    (1024, 1.05, 3.0),
-    (2048, 1.15, 3.3),
-    (4096, 1.2, 3.6),
-    (16384, 1.25, 4.0),
-    (65536, 1.3, 4.6),
-    (float("inf"), 1.3, 5.5),
+    (256, 0.8, 2.4),
+    (512, 1.1, 2.7),
+    (1024, 1.3, 3.0),
+    (2048, 1.4, 3.3),
+    (4096, 1.5, 3.6),
+    (16384, 1.55, 4.0),
+    (65536, 1.55, 4.6),
+    (float("inf"), 1.55, 5.5),
 )
 MAX_BAD_CHUNKS = 0.3
 MIN_CHUNK = 512  # a shorter last chunk belongs to the one before
