@@ -34,15 +34,10 @@ def anti_in(left: DataFrame, key: str, right: DataFrame, other: str) -> DataFram
     One pass over right for two flags, then a plain hash or merge anti join, where a null-aware
     one could only broadcast.
     """
-    flags = right.agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col(other).isNull()).alias("__nulls"))
     found = left.join(right.select(F.col(other).alias("__key")), F.col(key) == F.col("__key"), "left_anti")
-    kept = found.join(F.broadcast(flags))  # one row
-    return kept.where("__nulls = 0").where((F.col("__n") == 0) | F.col(key).isNotNull()).drop("__n", "__nulls")
-
-
-def average(value: Column, scale: int = 6) -> Column:
-    """AVG of whole numbers as DECIMAL(38, scale), from an exact sum."""
-    return F.expr("null") if value is None else (F.sum(value.cast("decimal(19,0)")) / F.count(value)).cast(f"decimal(38,{scale})")
+    nulls = right.agg(F.count_if(F.col(other).isNull())).scalar()
+    rows = right.agg(F.count(F.lit(1))).scalar()
+    return found.where((nulls == 0) & ((rows == 0) | F.col(key).isNotNull()))
 
 
 def ordering(column: str, descending: bool = False, nulls: str | None = None) -> Column:
