@@ -39,7 +39,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a few small columns that may be broadcast: some 50 MB.
+#: Rows of a few small columns that may be broadcast: some 30 MB.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -102,6 +102,10 @@ _KIND[128:] = 8
 for _c in range(33, 127):
     if not _KIND[_c]:
         _KIND[_c] = 16 << (_c % 8)
+#: White space and ASCII symbols.
+_IS_SYMBOL = _IS_SPACE.copy()
+for _c in range(33, 127):
+    _IS_SYMBOL[_c] = not chr(_c).isalnum()
 _POWERS: dict[str, np.ndarray] = {"p": np.ones(1, np.uint64), "q": np.ones(1, np.uint64)}
 
 
@@ -132,13 +136,14 @@ class Words:
     the texts given, so callers pass texts in groups of bounded size (see groups()).
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = True):
+    def __init__(self, texts: list[bytes], lower: bool = True, symbols: bool = True):
+        """symbols: whether ASCII symbols belong to words or separate them."""
         buffer = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
         self.raw = buffer
         if lower:
             buffer = _LOWER[buffer]
         self.bytes = buffer
-        space = _IS_SPACE[buffer]
+        space = (_IS_SPACE if symbols else _IS_SYMBOL)[buffer]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         self.start, self.end = edge[0::2], edge[1::2]
         offsets = np.cumsum([1] + [len(t) + 1 for t in texts])

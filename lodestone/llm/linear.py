@@ -7,14 +7,14 @@ import numpy as np
 from .common import Words, mix
 
 
-def ngram_features(texts: list[bytes], bits: int, pairs: bool = True, shapes: bool = True, prefixes: tuple[int, ...] = ()):
+def ngram_features(texts: list[bytes], bits: int, pairs: bool = True, shapes: bool = True, prefixes: tuple[int, ...] = (), symbols: bool = True):
     """Hashed n-gram features of each text: arrays (document, index, count), sorted by both.
 
     Words are always in, ``pairs`` adds pairs of words.  ``shapes`` adds the kinds of characters of words, of
     pairs and of triples, with whether a word repeats the one before.  ``prefixes`` adds the
-    first n bytes of longer words, for inflected forms.
+    first n bytes of longer words, for inflected forms.  Without ``symbols`` words end at punctuation.
     """
-    w = Words(texts)
+    w = Words(texts, symbols=symbols)
     if not len(w.start):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty

@@ -6,7 +6,8 @@
 2. Label model.  A generative model with one hidden class and a tree of dependences between
    voters (the maximum spanning tree of their mutual information given the class) is fitted by
    expectation maximisation.  Its tables are the voters' accuracies and correlations; the
-   known labels of training rows enter as one more, noisy, voter.
+   known labels of training rows enter as a voter of fixed accuracy, so the hidden class stays
+   what they mark while other voters can overrule single labels.
 3. Classifier.  A linear classifier over hashed words and word beginnings is trained on the
    model's posterior labels, and scores every document with a sparse dot product.
 
@@ -32,14 +33,16 @@ from .common import Words, fold, groups, labelled_sample, mix
 
 BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
-KINDS = {"pairs": False, "shapes": False, "prefixes": PREFIXES, "scaled": False}
+KINDS = {"pairs": False, "shapes": False, "prefixes": PREFIXES, "symbols": False, "scaled": False}
 LEXICON = 96  # entries kept
+CANDIDATES = 3000  # entries considered
+LABEL_NOISE = 0.03  # share of labels that are taken to be wrong
 PER_VOTER = 8  # entries of a lexicon voter
 
 
 def word_features(texts: list[bytes]) -> list[np.ndarray]:
     """For each text the hashes of its words and word beginnings, repeats included."""
-    w = Words(texts)
+    w = Words(texts, symbols=KINDS["symbols"])
     if not len(w.start):
         return [np.zeros(0, np.uint64) for _ in texts]
     parts = [(w.doc, w.hashes())]
@@ -54,19 +57,39 @@ def word_features(texts: list[bytes]) -> list[np.ndarray]:
     return [h[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
 
-def find_lexicon(features: list[np.ndarray], y: np.ndarray, size: int = LEXICON) -> np.ndarray:
-    """Hashes that occur in far more toxic than other texts, strongest first."""
+def find_lexicon(features: list[np.ndarray], y: np.ndarray, size: int = LEXICON, cover: int = 3) -> np.ndarray:
+    """Hashes that occur in far more toxic than other texts, chosen one after the other.
+
+    A toxic text counts for an entry until ``cover`` entries are found in it, so the entries reach
+    all kinds and languages of toxic texts instead of many forms of the most frequent words.
+    """
     sets = [np.unique(f) for f in features]
     key, inverse = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
-    if not len(key):
-        return key
-    toxic = np.repeat(y == 1, [len(s) for s in sets])
+    if not len(key) or not (y == 1).any():
+        return key[:0]
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    toxic = (y == 1)[of]
     pos, neg = np.bincount(inverse[toxic], minlength=len(key)), np.bincount(inverse[~toxic], minlength=len(key))
-    n1, n0 = max(1, (y == 1).sum()), max(1, (y == 0).sum())
-    odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))
-    strength = odds * np.sqrt(pos)
-    best = np.lexsort((key, -strength))[:size]
-    return key[best][(odds[best] > 1.5) & (pos[best] >= 3)]
+    odds = np.log((pos + 0.5) / ((y == 1).sum() + 1)) - np.log((neg + 0.5) / ((y == 0).sum() + 1))
+    best = np.lexsort((key, -odds * np.sqrt(pos)))[:CANDIDATES]
+    best = best[(odds[best] > 1.5) & (pos[best] >= 3)]
+    place = np.full(len(key), -1)
+    place[best] = np.arange(len(best))
+    column = np.full(len(sets), -1)
+    column[np.flatnonzero(y == 1)] = np.arange((y == 1).sum())
+    there = np.zeros((len(best), (y == 1).sum()), bool)
+    some = toxic & (place[inverse] >= 0)
+    there[place[inverse[some]], column[of[some]]] = True
+    found, covered = [], np.zeros(there.shape[1], int)
+    for _ in range(min(size, len(best))):
+        gain = odds[best] * np.sqrt(there @ (covered < cover).astype(float))
+        gain[found] = 0
+        k = int(np.argmax(gain))
+        if gain[k] <= 0:
+            break
+        found.append(k)
+        covered += there[k]
+    return key[best[found]]
 
 
 def votes(features: list[np.ndarray], lexicon: np.ndarray) -> np.ndarray:
@@ -124,7 +147,8 @@ class LabelModel:
             left.remove(last)
         return parent
 
-    def fit(self, v: np.ndarray, start: np.ndarray, rounds: int = 25) -> LabelModel:
+    def fit(self, v: np.ndarray, start: np.ndarray, known: np.ndarray | None = None, rounds: int = 25) -> LabelModel:
+        """start: first guess of the class; known: log odds from labels, added to the votes'."""
         post = np.stack([1 - start, start], 1)
         n = v.shape[1]
         for r in range(rounds):
@@ -137,19 +161,19 @@ class LabelModel:
                 for c in (0, 1):
                     np.add.at(self.tables[j, c], (up, v[:, j]), post[:, c])
             self.tables /= self.tables.sum(3, keepdims=True)
-            new = self.posterior(v)
+            new = self.posterior(v, known)
             done = np.abs(new - post[:, 1]).max() < 1e-4
             post = np.stack([1 - new, new], 1)
             if done:
                 break
         return self
 
-    def posterior(self, v: np.ndarray) -> np.ndarray:
+    def posterior(self, v: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
         log = np.log(self.prior)[None, :].repeat(len(v), 0)
         for j in range(v.shape[1]):
             up = v[:, self.parent[j]] if self.parent[j] >= 0 else np.zeros(len(v), int)
             log += np.log(self.tables[j][:, up, v[:, j]]).T
-        return linear.sigmoid(log[:, 1] - log[:, 0])
+        return linear.sigmoid(log[:, 1] - log[:, 0] + (0 if known is None else known))
 
     def accuracies(self, v: np.ndarray) -> list[float]:
         """Estimated share of each voter's votes that agree with the hidden class."""
@@ -169,13 +193,13 @@ def fit(ids, texts, labels, bits: int = BITS, epochs: int = 4) -> tuple[np.ndarr
         rows += linear.rows_of(doc, index, linear.values(doc, count, len(group), KINDS["scaled"]), len(group))
     lexicon = find_lexicon(features, y)
     v = votes(features, lexicon)
-    known = np.concatenate([v, y[:, None].astype(np.int8)], 1)  # the label: one more voter, not the truth
-    model = LabelModel().fit(known, 0.9 * y + 0.05)
-    target = model.posterior(known)
+    known = np.where(y == 1, 1.0, -1.0) * np.log((1 - LABEL_NOISE) / LABEL_NOISE)
+    model = LabelModel().fit(v, 0.9 * y + 0.05, known)
+    target = model.posterior(v, known)
     share = np.clip(target.mean(), 0.05, 0.95)
     weight = np.where(target > 0.5, 0.5 / share, 0.5 / (1 - share)) ** 0.5
-    w = linear.Ftrl(bits, alpha=0.5, l1=3.0, l2=0.1).fit(rows, target, weight, epochs)
-    return w, {"lexicon": len(lexicon), "accuracies": model.accuracies(known), "parents": model.parent.tolist(), "prior": model.prior.round(4).tolist()}
+    w = linear.Ftrl(bits, alpha=0.5, l1=2.0, l2=0.1).fit(rows, target, weight, epochs)
+    return w, {"lexicon": len(lexicon), "accuracies": model.accuracies(v), "parents": model.parent.tolist(), "prior": model.prior.round(4).tolist()}
 
 
 def train(sample: DataFrame, bits: int = BITS) -> tuple[np.ndarray, dict]:
