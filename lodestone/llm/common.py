@@ -40,7 +40,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Rows of a few small columns that may be broadcast: some 30 MB.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:

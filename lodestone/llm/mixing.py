@@ -19,7 +19,7 @@ empty table gives an empty result; with a budget above all capacity each documen
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,16 +41,19 @@ def _weight(column: str, weights: Weights) -> Column:
     return out.cast("long")
 
 
-def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Weights], budget: Column, max_epochs: int) -> DataFrame:
-    """The budget of each leaf (levels..., tokens): one pass of shares for each level, top down."""
+def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Weights], budget: Callable[[Column], Column], max_epochs: int) -> DataFrame:
+    """The budget of each leaf (levels..., tokens): one pass of shares for each level, top down.
+
+    budget gives that of the root from the sum of all tokens.
+    """
     wide = lambda c: c.cast("decimal(38,0)")
-    state = leaves.groupBy().agg(budget.cast("long").alias("b"))
+    state = None
     for depth, level in enumerate(levels):
         above, here = list(levels[:depth]), list(levels[: depth + 1])
-        nodes = leaves.groupBy(*here).agg((F.sum("tokens") * max_epochs).alias("cap")).withColumn("w", _weight(level, weights.get(level, {})))
-        # the root has one row; below it the parents' budgets are joined by key
-        nodes = nodes.join(state, above) if above else nodes.join(F.broadcast(state))
+        nodes = leaves.groupBy(*here).agg((F.sum("tokens") * max_epochs).alias("cap"), F.sum("tokens").alias("tokens")).withColumn("w", _weight(level, weights.get(level, {})))
         family = Window.partitionBy(*above) if above else Window.partitionBy(F.lit(0))
+        # the first level shares the root's budget, each other one its parents', joined by key
+        nodes = nodes.join(state, above) if above else nodes.withColumn("b", budget(F.sum("tokens").over(family)).cast("long"))
         order = family.orderBy(F.col("cap") / F.col("w"), level)
         before = order.rowsBetween(Window.unboundedPreceding, -1)
         nodes = nodes.select(
@@ -88,7 +91,10 @@ def draw(
     counted = counted.where("__n > 0").withColumn("__t", F.md5("text"))
     counted = written(counted.select(*own, *names, "__n", "__t"), "mix")
     leaves = written(counted.groupBy(*names).agg(F.sum("__n").alias("tokens")), "leaves")
-    budget = F.expr(f"sum(tokens) * {share[0]} div {share[1]}")
+
+    def budget(total: Column) -> Column:
+        return F.call_function("div", total * share[0], F.lit(share[1]))
+
     by_level = {n: (weights or {}).get(c, {}) for c, n in zip(levels, names)}
     plan = budgets(leaves, names, by_level, budget, max_epochs).join(leaves, names)
     plan = written(plan.selectExpr(*names, "budget div tokens AS __full", "budget % tokens AS __rest"), "budgets")
