@@ -99,13 +99,14 @@ def spread(seeds: DataFrame, graph: DataFrame, rounds: int = ROUNDS) -> DataFram
     state = written(nodes.select("kind", "host", F.coalesce("seed", F.lit(0).cast("long")).alias("seed"), F.coalesce("has_links", F.lit(False)).alias("has_links")).withColumn("rank", F.col("seed")), "host-ranks")
     share = F.expr("CAST(CAST(rank AS DECIMAL(19,0)) * CAST(w AS DECIMAL(19,0)) div CAST(total AS DECIMAL(19,0)) AS BIGINT)")
     for k in range(1, rounds + 1):
-        moved = (
-            both.join(state.select("kind", F.col("host").alias("src"), "rank").where("rank > 0"), ["kind", "src"])
-            .groupBy("kind", F.col("dst").alias("host")).agg(F.sum(share).alias("got"))
+        moved = both.join(state.select("kind", F.col("host").alias("src"), "rank").where("rank > 0"), ["kind", "src"]).select(
+            "kind", F.col("dst").alias("host"), share.alias("got"), F.lit(None).cast("long").alias("seed"), F.lit(None).cast("boolean").alias("has_links")
         )
-        kept = F.when(F.col("has_links"), F.lit(0).cast("long")).otherwise(F.col("rank"))
-        rank = F.expr(f"({100 - DAMPING} * seed + {DAMPING} * (coalesce(got, 0L) + kept)) div 100")
-        state = state.join(moved, ["kind", "host"], "left").withColumn("kept", kept).select("kind", "host", "seed", "has_links", rank.alias("rank"))
+        # what a node keeps goes with its seed, so one aggregation makes the next ranks
+        kept = F.when(F.col("has_links"), F.lit(0).cast("long")).otherwise(F.col("rank")).alias("got")
+        together = moved.unionByName(state.select("kind", "host", kept, "seed", "has_links"))
+        summed = together.groupBy("kind", "host").agg(F.sum("got").alias("got"), F.max("seed").alias("seed"), F.max("has_links").alias("has_links"))
+        state = summed.select("kind", "host", "seed", "has_links", F.expr(f"({100 - DAMPING} * seed + {DAMPING} * got) div 100").alias("rank"))
         if k % CUT == 0 or k == rounds:
             state = written(state, "host-ranks")
     return state.groupBy("host").agg(F.sum(F.expr("CASE WHEN kind = 1 THEN rank END")).alias("trust"), F.sum(F.expr("CASE WHEN kind = 2 THEN rank END")).alias("distrust"))
