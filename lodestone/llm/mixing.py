@@ -8,8 +8,8 @@ reaches the ancestors' other children.  All amounts are whole numbers, rounded d
 
 A leaf's budget is as many whole epochs over its documents as fit, and of the next epoch the prefix
 whose tokens fit, in an order drawn by hash from seed, epoch and document.  The prefix sums are
-taken over 4096 buckets of that order first, so a leaf that holds most rows is no single task:
-only the bucket in which the prefix ends is put in order itself.
+taken over a tree of 4096 buckets of that order first, so a leaf that holds most rows is no single
+task: only the bucket in which the prefix ends is put in order itself.
 
 Everything is DataFrame operations.  Defined results: documents without tokens (null or empty
 texts) are never drawn; null levels count as an empty name; repeated rows are drawn one by one; an
@@ -71,6 +71,24 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Weig
     return state.withColumnRenamed("b", "budget")
 
 
+def _starts(sums: DataFrame, names: Sequence[str], digits: int) -> DataFrame:
+    """Sums (names, __k, __s) with ``__start``, the sum over all smaller __k of the same names.
+
+    __k are hexadecimal numbers of so many digits.  Sums go up a tree with 16 children at each node
+    and starts come down, so no window holds more than 16 rows.
+    """
+    if digits == 1:
+        before = Window.partitionBy(*names).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+        return sums.withColumn("__start", F.coalesce(F.sum("__s").over(before), F.lit(0)))
+    own = sums.withColumn("__up", F.left("__k", F.lit(digits - 1)))
+    above = own.groupBy(*names, F.col("__up").alias("__k")).agg(F.sum("__s").alias("__s"))
+    above = _starts(above, names, digits - 1).select(*names, F.col("__k").alias("__up"), F.col("__start").alias("__first"))
+    before = Window.partitionBy(*names, "__up").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    inside = own.withColumn("__in", F.coalesce(F.sum("__s").over(before), F.lit(0)))
+    placed = inside.join(above, [*names, "__up"]).withColumn("__start", F.col("__first") + F.col("__in"))
+    return placed.select(*names, "__k", "__s", "__start")
+
+
 def draw(
     docs: DataFrame,
     levels: Sequence[str] = ("domain", "lang", "source"),
@@ -102,11 +120,9 @@ def draw(
     rows = counted.join(sized(plan, plan.count()), names)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("__t")))
     rows = rows.withColumn("__key", key).withColumn("__bucket", F.left("__key", F.lit(BUCKET_DIGITS)))
-    sums = rows.groupBy(*names, "__bucket", "__rest").agg(F.sum("__n").alias("__s"))
-    running = Window.partitionBy(*names).orderBy("__bucket")
-    sums = sums.withColumn("__end", F.sum("__s").over(running)).select(
-        *names, "__bucket", (F.col("__end") - F.col("__s")).alias("__start"), "__end"
-    )
+    sums = rows.groupBy(*names, "__bucket").agg(F.sum("__n").alias("__s"))
+    sums = _starts(sums.withColumnRenamed("__bucket", "__k"), names, BUCKET_DIGITS)
+    sums = sums.select(*names, F.col("__k").alias("__bucket"), "__start", (F.col("__start") + F.col("__s")).alias("__end"))
     sums = written(sums, "buckets")
     placed = rows.join(sized(sums, sums.count()), [*names, "__bucket"])
     whole = placed.where("__end <= __rest").select(*own, "__n", F.col("__full").alias("epoch"))
