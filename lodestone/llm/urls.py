@@ -10,8 +10,8 @@ links out, or in, keeps its own share.  A page without a rule is blocked if its
 reaches ``threshold`` and exceeds its trust.  Ranks are whole numbers (SCALE is 1), so results do not
 depend on the order of additions.
 
-The graph is one of hosts, aggregated before it is shuffled; ranks are cut from their lineage
-every few rounds by a table in the shared folder.  Everything is DataFrame operations.
+The graph is one of hosts, aggregated before it is shuffled; each
+round's ranks are a table in the shared folder.  Everything is DataFrame operations.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule and is
 allowed; null html has no links; repeated rows are judged alike and count as pages each.
@@ -29,7 +29,6 @@ from .common import written
 SCALE = 10**9
 DAMPING = 85  # percent
 ROUNDS = 20
-CUT = 5  # rounds between tables
 THRESHOLD = SCALE // 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
@@ -98,7 +97,7 @@ def spread(seeds: DataFrame, graph: DataFrame, rounds: int = ROUNDS) -> DataFram
     nodes = nodes.join(start, ["kind", "host"], "left").join(ends, ["kind", "host"], "left")
     state = written(nodes.select("kind", "host", F.coalesce("seed", F.lit(0).cast("long")).alias("seed"), F.coalesce("has_links", F.lit(False)).alias("has_links")).withColumn("rank", F.col("seed")), "host-ranks")
     share = F.expr("CAST(CAST(rank AS DECIMAL(19,0)) * CAST(w AS DECIMAL(19,0)) div CAST(total AS DECIMAL(19,0)) AS BIGINT)")
-    for k in range(1, rounds + 1):
+    for _ in range(rounds):
         moved = both.join(state.select("kind", F.col("host").alias("src"), "rank").where("rank > 0"), ["kind", "src"]).select(
             "kind", F.col("dst").alias("host"), share.alias("got"), F.lit(None).cast("long").alias("seed"), F.lit(None).cast("boolean").alias("has_links")
         )
@@ -107,8 +106,8 @@ def spread(seeds: DataFrame, graph: DataFrame, rounds: int = ROUNDS) -> DataFram
         together = moved.unionByName(state.select("kind", "host", kept, "seed", "has_links"))
         summed = together.groupBy("kind", "host").agg(F.sum("got").alias("got"), F.max("seed").alias("seed"), F.max("has_links").alias("has_links"))
         state = summed.select("kind", "host", "seed", "has_links", F.expr(f"({100 - DAMPING} * seed + {DAMPING} * got) div 100").alias("rank"))
-        if k % CUT == 0 or k == rounds:
-            state = written(state, "host-ranks")
+        # the next round reads these ranks twice, so each round's plan would double the one before
+        state = written(state, "host-ranks")
     return state.groupBy("host").agg(F.sum(F.expr("CASE WHEN kind = 1 THEN rank END")).alias("trust"), F.sum(F.expr("CASE WHEN kind = 2 THEN rank END")).alias("distrust"))
 
 
