@@ -46,9 +46,10 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _SIGN = r"(?:@|\x20?[(\[]\x20?at\x20?[)\]]\x20?)"
 _AT = rf"(?:{_SIGN}|\x20at\x20)"
 _DOT = r"(?:\.|\x20?[(\[]\x20?dot\x20?[)\]]\x20?|\x20dot\x20)"
+_NAME = rf"[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)++"
 GENERATORS = {
-    # a bare "at" is a common word, so it counts only with a written-out dot
-    "email": rf"(?i)(?<!{_LOCAL}){_LOCAL}{{1,64}}+(?:{_SIGN}[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)*+|\x20at\x20[a-z0-9-]++(?:\x20dot\x20[a-z0-9-]++)++)",
+    # a bare "at" is a common word, so it needs a dotted name that is not itself the local part of an address
+    "email": rf"(?i)(?<!{_LOCAL}){_LOCAL}{{1,64}}+(?:{_SIGN}[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)*+|\x20at\x20{_NAME}(?!{_LOCAL}*+(?:{_SIGN}|\x20at\x20{_NAME})))",
     "ip": r"(?<![0-9A-Za-z:.])(?:[0-9]{1,5}(?:\.[0-9]{1,5}){2,5}+|(?:[0-9A-Fa-f]{1,4}:){3,7}+[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[\x20.-]?[0-9]){11,24}+(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z.,:/-])\+?[0-9]{0,3}+[\x20.-]?\(?[0-9]{2,4}+\)?(?:[\x20./-]{1,2}[0-9]{2,5}+){1,4}+(?![0-9A-Za-z])",
@@ -58,7 +59,7 @@ GENERATORS = {
 _IP_NEEDS = (r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]",)
 _CARD_NEEDS = (r"[0-9](?:[\x20-]?[0-9]){11}",)
 _NEEDS = {
-    "email": (r"@|\x20dot\x20|[(\[]\x20?at\x20?[)\]]",),
+    "email": (rf"(?i)@|[(\[]\x20?at\x20?[)\]]|\x20at\x20[a-z0-9-]++{_DOT}[a-z0-9-]",),
     "ip": (r"[0-9]\.[0-9]+\.[0-9]|:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:",),
     "card": (r"[0-9](?:[\x20.-]?[0-9]){11}",),
     "phone": (r"[0-9]\)?[\x20./-]{1,2}[0-9]{2}",),

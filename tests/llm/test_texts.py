@@ -1,6 +1,7 @@
 """Token counts against the library, quality rules and personal data against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -154,6 +155,48 @@ def test_trees_add_spans_and_redact(spark, frame):
     assert pii.redact(frame(docs, extra=True)).columns == frame(docs, extra=True).columns
 
 
+#: Texts whose one candidate of a kind is the part in braces.
+PROPOSED = {
+    "email": [
+        "write {JOHN [AT] EXAMPLE [DOT] COM}", "write {joe (At) site (Dot) org} now", "write {joe AT site DOT org}", "write {john at example.com}.", "{joe at site dot org}",
+        "mail me at {john.doe [at] example [dot] com}", "mail me at {john.doe@example.com} now", "mail me at {john.doe at site.org} now", "{john at example.com} at noon", "{a@b} c",
+    ],
+    "ip": ["at {10.20.30.40}, so", "{1.2.3} x", "at {fe80:1:2:3} so"],
+    "card": ["card {1234.5678-9012 3456} so"],
+    "phone": ["call {+49 171 234 567} or", "call {171 234 567} or"],
+    "secret": ["a {0123456789abcdef0123} b", "a {abcdefghij_ABCDEFGHI-0} b"],
+}
+
+
+def proposed(spark, texts, kind):
+    """The texts of the candidates of a kind, by text."""
+    from pyspark.sql import functions as F
+
+    df = pii.scan(spark.createDataFrame([(t,) for t in texts], "text string"))
+    found = df.select("text", F.filter("__candidates", lambda c: c["kind"] == pii.KINDS.index(kind)).alias("c")).collect()
+    return {r["text"]: [r["text"][c["start"] : c["end"]] for c in r["c"]] for r in found}
+
+
+@pytest.mark.parametrize("kind", PROPOSED)
+def test_generators_propose(spark, kind):
+    want = {re.sub("[{}]", "", t): re.findall("{(.*?)}", t) for t in PROPOSED[kind]}
+    assert proposed(spark, want, kind) == want
+
+
+def test_pretests_pass_all_matches(spark):
+    from pyspark.sql import functions as F
+
+    pieces = ["@", " at ", " AT ", "[at]", "( At )", " dot ", " DOT ", "(dot)", ".", "a", "joe", "X9", "7", "12", "0123", "99999", "123456789012", "k" * 20, " ", "-", "/", ":", "+", "(", ")", "=", "_"]
+    rnd = random.Random(4)
+    few = [rnd.sample(pieces, rnd.randint(2, 4)) for _ in range(20000)]
+    df = spark.createDataFrame([("".join(rnd.choice(p) for _ in range(rnd.randint(3, 16))),) for p in few], "t string").cache()
+    for name, pattern in pii.GENERATORS.items():
+        matched = df.where(F.col("t").rlike(pattern))
+        assert matched.count() > 0, name
+        for p in pii._NEEDS[name]:
+            assert [r["t"] for r in matched.where(~F.col("t").rlike(p)).collect()] == [], (name, p)
+
+
 def test_boosted_column_equals_trees(spark):
     from pyspark.sql import functions as F
 
