@@ -47,13 +47,18 @@ _SIGN = r"(?:@|\x20?[(\[]\x20?at\x20?[)\]]\x20?)"
 _AT = rf"(?:{_SIGN}|\x20at\x20)"
 _DOT = r"(?:\.|\x20?[(\[]\x20?dot\x20?[)\]]\x20?|\x20dot\x20)"
 _NAME = rf"[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)++"
+_KEY = r"[A-Za-z0-9_/+-]"
+_KEYS = rf"{_KEY}++(?:\.{_KEY}++)*+"
+#: By kind; what follows an underscore tells generators of one kind apart.
 GENERATORS = {
     # a bare "at" is a common word, so it needs a dotted name that is not itself the local part of an address
     "email": rf"(?i)(?<!{_LOCAL}){_LOCAL}{{1,64}}+(?:{_SIGN}[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)*+|\x20at\x20{_NAME}(?!{_LOCAL}*+(?:{_SIGN}|\x20at\x20{_NAME})))",
     "ip": r"(?<![0-9A-Za-z:.])(?:[0-9]{1,5}(?:\.[0-9]{1,5}){2,5}+|(?:[0-9A-Fa-f]{1,4}:){3,7}+[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[\x20.-]?[0-9]){11,24}+(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z.,:/-])\+?[0-9]{0,3}+[\x20.-]?\(?[0-9]{2,4}+\)?(?:[\x20./-]{1,2}[0-9]{2,5}+){1,4}+(?![0-9A-Za-z])",
-    "secret": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_-]{0,64}[0-9])[A-Za-z0-9_+-]{20,128}+(?![A-Za-z0-9_/+-])",
+    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_+-]*+[0-9])[A-Za-z0-9_+-]{20,}+(?![A-Za-z0-9_/+-])",
+    # keys that hold a slash, a dot or an equals sign; the latter only after twenty others, as a name may stand before one
+    "secret_mixed": rf"(?<!{_KEY})(?<!{_KEY}\.)(?=[A-Za-z0-9_+-]*+(?:[/=]|\.{_KEY}))(?=(?:\.?{_KEY}){{20}})(?=(?:\.?[A-Za-z_/+-])*+\.?[0-9]){_KEYS}(?:=++{_KEYS})*+=*+",
 }
 #: Cheap tests that every text with a match passes, begun by a rare character where possible.
 _IP_NEEDS = (r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]",)
@@ -64,6 +69,7 @@ _NEEDS = {
     "card": (r"[0-9](?:[\x20.-]?[0-9]){11}",),
     "phone": (r"[0-9]\)?[\x20./-]{1,2}[0-9]{2}",),
     "secret": (r"[0-9]", r"[A-Za-z0-9_+-]{20}"),
+    "secret_mixed": (r"[0-9]", r"(?<![A-Za-z0-9_/+.-])[A-Za-z0-9_/+.-]{20}"),
 }
 #: Words before a candidate that tell what it is; the class is the position, 0 for none.
 CONTEXT = (
@@ -186,16 +192,17 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     found = docs.withColumn("__clean", _clean(F.col(text)))
     found = found.select("*", *[c.alias(f"__{k}") for k, c in base_spans(F.col("__clean")).items()])
 
-    def proposed(kind: str) -> Column:
+    def proposed(name: str) -> Column:
+        kind = name.split("_")[0]
         base = F.col(f"__{kind}") if kind in BASE else _none()
-        return F.transform(find(F.col("__clean"), GENERATORS[kind], _NEEDS[kind]), lambda m: _features(kind, m, base))
+        return F.transform(find(F.col("__clean"), GENERATORS[name], _NEEDS[name]), lambda m: _features(kind, m, base))
 
     def placed(kind: str) -> Column:
         which = F.lit(KINDS.index(kind)).alias("kind")
         return F.transform(F.col(f"__{kind}"), lambda m: F.struct(m["start"].alias("start"), which, m["end"].alias("end")))
 
     base = F.array_sort(F.concat(*map(placed, BASE)))
-    out = found.withColumn("__candidates", F.concat(*map(proposed, KINDS))).withColumn("__base", base)
+    out = found.withColumn("__candidates", F.concat(*map(proposed, GENERATORS))).withColumn("__base", base)
     return out.drop("__clean", *[f"__{k}" for k in BASE])
 
 

@@ -164,7 +164,11 @@ PROPOSED = {
     "ip": ["at {10.20.30.40}, so", "{1.2.3} x", "at {fe80:1:2:3} so"],
     "card": ["card {1234.5678-9012 3456} so"],
     "phone": ["call {+49 171 234 567} or", "call {171 234 567} or"],
-    "secret": ["a {0123456789abcdef0123} b", "a {abcdefghij_ABCDEFGHI-0} b"],
+    "secret": [
+        "a {0123456789abcdef0123} b", "a {abcdefghij_ABCDEFGHI-0} b", "a {" + "0a" * 100 + "} b", "a {" + "0a" * 3000 + "} b", "a {" + "k" * 70 + "7} b", "a {abcdefghij+0123456789}. B",
+        "token={wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY}", "a {/abcdefghij+ABCDEFGHI0} b", "token={0123456789abcdef0123}&x=1", "a {0123456789abcdef0123/x==} b",
+        "a word/or/two/of/prose b", "a short.0123456789 b", "a short=0123456789 b",
+    ],
 }
 
 
@@ -174,6 +178,7 @@ def proposed(spark, texts, kind):
 
     df = pii.scan(spark.createDataFrame([(t,) for t in texts], "text string"))
     found = df.select("text", F.filter("__candidates", lambda c: c["kind"] == pii.KINDS.index(kind)).alias("c")).collect()
+    # generators of one kind may propose spans that overlap
     return {r["text"]: [r["text"][c["start"] : c["end"]] for c in r["c"]] for r in found}
 
 
@@ -183,6 +188,25 @@ def test_generators_propose(spark, kind):
     assert proposed(spark, want, kind) == want
 
 
+def test_keys_with_dots_and_padding_are_also_proposed_whole(spark):
+    pieces = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(3)]
+    dotted, padded = ".".join(pieces), f"{pieces[0]}=="
+    got = proposed(spark, [f"a {dotted} b", f"a {padded} b"], "secret")
+    assert got[f"a {dotted} b"] == [*pieces, dotted] and got[f"a {padded} b"] == [pieces[0], padded]
+
+
+def test_base64_keys_and_long_keys_are_redacted(spark, frame):
+    import base64
+
+    key = lambda i, n: base64.b64encode(hashlib.shake_128(str(i).encode()).digest(n)).decode().rstrip("=")
+    keys = [key(i, n) for i in range(60) for n in (30, 150)]
+    assert sum("/" in k for k in keys) > 40 and max(map(len, keys)) > 128
+    docs = [(i, f'some words token = "{k}" said so') for i, k in enumerate(keys)] + [(900, f"a bare {key(901, 150)} here"), (901, PROSE)]
+    out = {r["doc_id"]: r["text"] for r in pii.redact(frame(docs)).collect()}
+    assert [out[i] for i in range(len(keys))] == ['some words token = "[SECRET]" said so'] * len(keys)
+    assert out[900] == "a bare [SECRET] here" and out[901] == PROSE
+
+
 def test_pretests_pass_all_matches(spark):
     from pyspark.sql import functions as F
 
