@@ -55,7 +55,7 @@ GENERATORS = {
     "email": rf"(?i)(?<!{_LOCAL}){_LOCAL}{{1,64}}+(?:{_SIGN}[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)*+|\x20at\x20{_NAME}(?!{_LOCAL}*+(?:{_SIGN}|\x20at\x20{_NAME})))",
     "ip": r"(?<![0-9A-Za-z:.])(?:[0-9]{1,5}(?:\.[0-9]{1,5}){2,5}+|(?:[0-9A-Fa-f]{1,4}:){3,7}+[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[\x20.-]?[0-9]){11,24}+(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z.,:/-])\+?[0-9]{0,3}+[\x20.-]?\(?[0-9]{2,4}+\)?(?:[\x20./-]{1,2}[0-9]{2,5}+){1,4}+(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z.,:/-])(?:(?:\+[\x20.-]?|00)?(?:[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,}+\)?(?:[\x20./-]{1,2}[0-9]{2,}+){1,4}+|\+?[0-9]{7,}+)(?![0-9A-Za-z])",
     "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_+-]*+[0-9])[A-Za-z0-9_+-]{20,}+(?![A-Za-z0-9_/+-])",
     # keys that hold a slash, a dot or an equals sign; the latter only after twenty others, as a name may stand before one
     "secret_mixed": rf"(?<!{_KEY})(?<!{_KEY}\.)(?=[A-Za-z0-9_+-]*+(?:[/=]|\.{_KEY}))(?=(?:\.?{_KEY}){{20}})(?=(?:\.?[A-Za-z_/+-])*+\.?[0-9]){_KEYS}(?:=++{_KEYS})*+=*+",
@@ -67,7 +67,7 @@ _NEEDS = {
     "email": (rf"(?i)@|[(\[]\x20?at\x20?[)\]]|\x20at\x20[a-z0-9-]++{_DOT}[a-z0-9-]",),
     "ip": (r"[0-9]\.[0-9]+\.[0-9]|:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:",),
     "card": (r"[0-9](?:[\x20.-]?[0-9]){11}",),
-    "phone": (r"[0-9]\)?[\x20./-]{1,2}[0-9]{2}",),
+    "phone": (r"[0-9]\)?(?:[\x20./-]{1,2}[0-9]{2}|[0-9]{6})",),
     "secret": (r"[0-9]", r"[A-Za-z0-9_+-]{20}"),
     "secret_mixed": (r"[0-9]", r"(?<![A-Za-z0-9_/+.-])[A-Za-z0-9_/+.-]{20}"),
 }

@@ -163,7 +163,10 @@ PROPOSED = {
     ],
     "ip": ["at {10.20.30.40}, so", "{1.2.3} x", "at {fe80:1:2:3} so"],
     "card": ["card {1234.5678-9012 3456} so"],
-    "phone": ["call {+49 171 234 567} or", "call {171 234 567} or"],
+    "phone": [
+        "call {+49 171 234 567} or", "call {171 234 567} or", "call {0171 234 5678}.", "call {0800 123 4567} or", "call {06 12345678} or", "call {030 1234567} or", "call {01712345678} or",
+        "call {+491712345678} or", "call {0049 30 12 34 56 78} or", "call {06 12 34 56 78} or", "call {1(800) 555 0199} or", "call {(0171) 234 5678} or", "in 2024 or 123456 so",
+    ],
     "secret": [
         "a {0123456789abcdef0123} b", "a {abcdefghij_ABCDEFGHI-0} b", "a {" + "0a" * 100 + "} b", "a {" + "0a" * 3000 + "} b", "a {" + "k" * 70 + "7} b", "a {abcdefghij+0123456789}. B",
         "token={wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY}", "a {/abcdefghij+ABCDEFGHI0} b", "token={0123456789abcdef0123}&x=1", "a {0123456789abcdef0123/x==} b",
