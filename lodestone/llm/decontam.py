@@ -10,7 +10,9 @@ Texts are lower-cased and cut into words of letters and digits; shingles are fiv
 3. Multi-index.  64-bit fingerprints of windows and items are cut into BLOCKS blocks.  Each item is
    indexed under all values within BLOCK_RADIUS bits of each block.  Fingerprints within
    RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1 bits have a block within BLOCK_RADIUS, so all of these meet.
-   A window similar enough differs by some 9 bits, 19 being over three deviations away.
+   A window similar enough differs by some 9 bits, 19 being over three deviations away.  That holds for
+   bags of distinct shingles, FEW or more; an item and a window aligned with it meet without
+   fingerprints if either bag has repeats or fewer shingles.
 4. Verification.  Weighted Jaccard similarity of the two bags of shingles, each weighing as often as it
    occurs: the sum of the lesser counts over the sum of the greater.
 
@@ -34,6 +36,7 @@ from .common import let, sized, written
 WIDTH = 5
 BLOCKS, BLOCK_RADIUS = 5, 3
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
+FEW = 10
 
 
 def normal_words(text: Column) -> Column:
@@ -63,6 +66,11 @@ def fingerprint(hashes: Column) -> Column:
     return out
 
 
+def uneven(hashes: Column) -> Column:
+    """Whether a bag is too small, or repeats too much, for its fingerprint to bound similarities."""
+    return (F.size(hashes) < FEW) | (F.size(F.array_distinct(hashes)) < F.size(hashes))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Weighted Jaccard similarity of two bags of hashes."""
     distinct = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))
@@ -141,12 +149,14 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame
     suspects = written(suspects.select("doc_id", "k1", "k2", shingles(normal_words(F.col("text"))).alias("hashes")), "suspects")
 
     places = suspects.select("k1", "k2", F.size("hashes").alias("size"), F.posexplode("hashes").alias("place", "h"))
-    aligned = (
+    placed = (
         places.join(sized(parts, total), "h").join(pairs, ["k1", "k2", "item_key"])
         # start of the window among the document's shingles, moved inside it
-        .select("k1", "k2", "n", F.greatest(F.lit(0), F.least(F.col("place") - F.col("at"), F.col("size") - F.col("n"))).alias("start"))
+        .select("k1", "k2", "item_key", "n", F.greatest(F.lit(0), F.least(F.col("place") - F.col("at"), F.col("size") - F.col("n"))).alias("start"))
         .distinct()
     )
+    placed = written(placed, "placed")
+    aligned = placed.select("k1", "k2", "n", "start").distinct()
     windows = suspects.join(aligned, ["k1", "k2"]).select("doc_id", "k1", "k2", "start", "n", F.slice("hashes", F.col("start") + 1, F.col("n")).alias("window"))
     windows = written(windows.withColumn("w1", F.xxhash64("window")).withColumn("w2", F.hash("window")), "windows")
 
@@ -158,7 +168,11 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame
         "item_key", F.size("hashes").alias("n"), "item_fp", "hashes", F.explode(_near_values(F.col("item_fp"))).alias("b")
     ).select("item_key", "n", "item_fp", "hashes", "b.block", "b.value")
     light = blocks.select("w1", "w2", "n", "fp", "block", "value").join(index.select("item_key", "n", "item_fp", "block", "value"), ["n", "block", "value"])
-    met = light.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("w1", "w2", "item_key").distinct()
+    near = light.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("w1", "w2", "item_key")
+    at = windows.select("k1", "k2", "n", "start", "w1", "w2", uneven(F.col("window")).alias("odd"))
+    odd = bench.select("item_key", uneven(F.col("hashes")).alias("odd_item"))
+    direct = placed.join(odd, "item_key").join(at, ["k1", "k2", "n", "start"]).where("odd OR odd_item").select("w1", "w2", "item_key")
+    met = near.unionByName(direct).distinct()
     same = (
         met.join(contents.select("w1", "w2", "window"), ["w1", "w2"]).join(bench.select("item_key", "ids", "n_words", "hashes"), "item_key")
         .withColumn("similarity", similarity(F.col("window"), F.col("hashes"))).where(F.col("similarity") >= least)

@@ -169,6 +169,19 @@ def test_leaks(spark, frame, odd):
     assert decontam.without_leaks(frame(docs), empty).count() == len(docs)
 
 
+def test_leaks_of_repetitive_and_short_items(spark, frame):
+    # at the limit of 0.8: eight of nine shingles by two words in turn, and the first four of five
+    items = [(i, f"p{i} q{i} " * 6 + f"z{i}") for i in range(80)] + [(100 + i, " ".join(f"s{i}x{k}" for k in range(9))) for i in range(80)]
+    docs = [(i, f"p{i} q{i} " * 6 + "y" + str(i)) for i in range(80)] + [(100 + i, " ".join(f"s{i}x{k}" for k in range(8))) for i in range(80)]
+    # and a window with a repeated shingle against items without any
+    items += [(200 + i, " ".join(f"r{i}x{k}" for k in range(104))) for i in range(8)]
+    docs += [(200 + i, " ".join(f"r{i}x{k}" for k in range(95)) + f" r{i}" * 13) for i in range(8)]
+    want = leak_table(docs, items)
+    assert len(want) >= 160
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.leaks(frame(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_blocks_reach_the_radius(spark):
     """Every fingerprint within RADIUS shares a near value of some block."""
     from pyspark.sql import functions as F
