@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,24 +22,57 @@ _OWN_DIR: dict[str, str] = {}
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that the cluster names in spark.checkpoint.dir.
 
-    A folder of our own is made only where that setting is absent, as in local tests.
+    Where that setting is absent a folder of our own is made for local masters, which goes at
+    exit; on a cluster its absence is an error, since machines do not share local folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
-        base = _OWN_DIR.setdefault(app, tempfile.mkdtemp(prefix="lodestone-"))
+        if app not in _OWN_DIR:
+            _OWN_DIR[app] = tempfile.mkdtemp(prefix="lodestone-")
+            atexit.register(shutil.rmtree, _OWN_DIR[app], True)
+        base = _OWN_DIR[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of df: write it to the shared folder and read it back.
 
-    Unlike localCheckpoint the copy survives the loss of any executor.
+    Unlike localCheckpoint the copy survives the loss of any executor.  It goes when the
+    application ends, or with dropped().
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    store, where = _file_system(spark, path)
+    store.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the tables of frames that written() gave and that no later plan reads."""
+    for df in frames:
+        store, where = _file_system(df.sparkSession, df.written_to)
+        store.delete(where, True)
+        store.cancelDeleteOnExit(where)
+
+
+def packed(df: DataFrame, *leave: str) -> Column:
+    """All columns of a row, but for those named, as one struct called ``row``.
+
+    Operators carry a caller's columns in it, so that no name of theirs can clash with one of our
+    own; ``row.*`` gives them back.
+    """
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in leave]).alias("row")
 
 
 #: Rows of a few small columns that may be broadcast: some 30 MB.
@@ -68,22 +104,39 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, rows: int) -> DataFrame:
-    """Texts and labels of at most ``rows`` labelled documents outside the held-out fold.
+#: A labelled text above this many bytes is never sampled, so a sample of n rows has n times as many at most.
+SAMPLE_BYTES = 1 << 17
+
+
+def _few(rows: DataFrame, n: int) -> DataFrame:
+    """At most n rows with the smallest hashes of doc_id; each task first drops most of its rows."""
+    total = rows.count()
+    share = 1.0 if total <= 4 * n else 3.0 * n / total
+    near = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
+    return near.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, rows: int, unlabelled: int = 0) -> DataFrame:
+    """Texts and labels of at most ``rows`` labelled documents outside the held-out fold, and of
+    at most ``unlabelled`` others outside of it, whose label is null.
 
     Repeated label rows of a document count as 1 if any is 1; documents repeated under
     one doc_id count once.  The choice follows a hash of doc_id, so it does not depend on
-    the order or the partitioning of the input.  Columns: doc_id, text, label.
+    the order or the partitioning of the input.  Texts of more than SAMPLE_BYTES bytes are left out.
+    Columns: doc_id, text, label.
     """
-    chosen = (
-        labels.select("doc_id", F.col(label).cast("int").alias("label"))
-        .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("doc_id"), parts) != held_out))
-        .groupBy("doc_id").agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    )
-    # at most ``rows`` rows of two numbers: a proven bound, so the documents need no shuffle
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return joined.groupBy("doc_id", "label").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    outside = F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), parts) != held_out)
+    named = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
+    chosen = _few(named.where(outside).groupBy("doc_id").agg(F.max("label").alias("label")), rows)
+    if unlabelled:
+        others = _few(docs.select("doc_id").where(outside), 2 * unlabelled).distinct()
+        # ids of a bounded sample on the broadcast sides
+        known = named.select("doc_id").join(F.broadcast(others), "doc_id", "left_semi").distinct()
+        others = others.join(F.broadcast(known), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
+        chosen = chosen.unionByName(others.select("doc_id", F.lit(None).cast("int").alias("label")))
+    # at most so many rows of two numbers: a proven bound, so the documents need no shuffle
+    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    return short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text"))
 
 
 # --- vectorised word hashing ---------------------------------------------------------
@@ -133,7 +186,7 @@ class Words:
     """Words of several texts as arrays: hash, document, byte bounds, kinds of characters.
 
     Work per byte is a few vector operations, and memory is some 40 bytes for each byte of
-    the texts given, so callers pass texts in groups of bounded size (see groups()).
+    the texts given, so callers pass batches of bounded size (see batches_of()).
     """
 
     def __init__(self, texts: list[bytes], lower: bool = True, symbols: bool = True):
@@ -146,8 +199,8 @@ class Words:
         space = (_IS_SPACE if symbols else _IS_SYMBOL)[buffer]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         self.start, self.end = edge[0::2], edge[1::2]
-        offsets = np.cumsum([1] + [len(t) + 1 for t in texts])
-        self.doc = np.searchsorted(offsets, self.start, "right") - 1
+        self.offsets = np.cumsum([1] + [len(t) + 1 for t in texts])
+        self.doc = np.searchsorted(self.offsets, self.start, "right") - 1
         self.n_docs = len(texts)
         p, self._inverse = _powers(len(buffer) + 1)
         self._prefix = np.zeros(len(buffer) + 1, np.uint64)
@@ -168,7 +221,11 @@ class Words:
         return np.bitwise_or.reduceat(_KIND[self.raw], bounds)[0::2].astype(np.uint64)
 
 
-def groups(texts, limit: int = 1 << 20):
+GROUP_BYTES = 1 << 20
+CONTEXT = 3  # words of the piece before that a piece repeats
+
+
+def groups(texts, limit: int = GROUP_BYTES):
     """Split a sequence of texts into runs of about ``limit`` bytes; yields (first, bytes list)."""
     first, out, size = 0, [], 0
     for i, t in enumerate(texts):
@@ -180,3 +237,39 @@ def groups(texts, limit: int = 1 << 20):
         size += len(b)
     if out:
         yield first, out
+
+
+def pieces(text: bytes, limit: int = GROUP_BYTES) -> Iterator[tuple[bytes, int]]:
+    """A text cut at white space into pieces of ``limit`` bytes or so, that together are the whole text.
+
+    Yields (piece, bytes at its start that repeat the last words of the piece before).  A run of more
+    than ``limit`` bytes without white space is cut where the limit falls.
+    """
+    at, before = 0, b""
+    while True:
+        end = len(text)
+        if end - at > limit:
+            end = at + limit
+            space = max(text.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            end = space + 1 if space > at else end
+        yield before + text[at:end], len(before)
+        if end == len(text):
+            return
+        before = b" ".join(text[at:end].rsplit(None, CONTEXT)[-CONTEXT:]) + b" "
+        at = end
+
+
+def batches_of(texts: list[bytes], limit: int = GROUP_BYTES) -> Iterator[tuple[list[int], list[bytes], list[int]]]:
+    """Pieces of texts in batches of about ``limit`` bytes: which texts, the pieces, bytes repeated."""
+    which, out, known, size = [], [], [], 0
+    for i, t in enumerate(texts):
+        for piece, skip in pieces(t, limit):
+            if out and size + len(piece) > limit:
+                yield which, out, known
+                which, out, known, size = [], [], [], 0
+            which.append(i)
+            out.append(piece)
+            known.append(skip)
+            size += len(piece)
+    if out:
+        yield which, out, known

@@ -4,22 +4,38 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import Words, mix
+from .common import GROUP_BYTES, Words, batches_of, mix
 
 
-def ngram_features(texts: list[bytes], bits: int, pairs: bool = True, shapes: bool = True, prefixes: tuple[int, ...] = (), symbols: bool = True):
+def ngram_features(texts: list[bytes], bits: int, pairs: bool = True, shapes: bool = True, prefixes: tuple[int, ...] = (), symbols: bool = True, limit: int = GROUP_BYTES):
     """Hashed n-gram features of each text: arrays (document, index, count), sorted by both.
 
     Words are always in, ``pairs`` adds pairs of words.  ``shapes`` adds the kinds of characters of words, of
     pairs and of triples, with whether a word repeats the one before.  ``prefixes`` adds the
     first n bytes of longer words, for inflected forms.  Without ``symbols`` words end at punctuation.
+    Long texts are read piece by piece, with the same result.
     """
+    keys, counts = [], []
+    for which, part, known in batches_of(texts, limit):
+        key, count = _batch(np.array(which), part, np.array(known), bits, pairs, shapes, prefixes, symbols)
+        keys.append(key)
+        counts.append(count)
+    key = np.concatenate([*keys, np.zeros(0, np.uint64)])
+    count = np.concatenate([*counts, np.zeros(0, np.int64)])
+    if len(keys) > 1:
+        key, of = np.unique(key, return_inverse=True)
+        count = np.bincount(of, count, len(key)).astype(np.int64)
+    return (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64((1 << bits) - 1)).astype(np.int64), count
+
+
+def _batch(which, texts: list[bytes], known, bits: int, pairs: bool, shapes: bool, prefixes: tuple[int, ...], symbols: bool):
+    """Keys (text and index) and counts of one batch of pieces; n-grams that end in repeated words are left out."""
     w = Words(texts, symbols=symbols)
     if not len(w.start):
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h, doc = w.hashes(), w.doc
-    parts = [(doc, h)]
+    new = w.start >= (w.offsets[:-1] + known)[doc]
+    parts = [(doc[new], h[new])]
 
     def grams(x: np.ndarray, n: int, salt: int) -> None:
         if len(x) < n:
@@ -27,7 +43,7 @@ def ngram_features(texts: list[bytes], bits: int, pairs: bool = True, shapes: bo
         key = np.full(len(x) - n + 1, salt, np.uint64)
         for i in range(n):
             key = mix(key * np.uint64(31) + x[i : len(x) - n + 1 + i])
-        same = doc[n - 1 :] == doc[: len(doc) - n + 1]
+        same = (doc[n - 1 :] == doc[: len(doc) - n + 1]) & new[n - 1 :]
         parts.append((doc[: len(key)][same], key[same]))
 
     if pairs:
@@ -40,12 +56,11 @@ def ngram_features(texts: list[bytes], bits: int, pairs: bool = True, shapes: bo
         grams(k, 2, 12)
         grams(k, 3, 13)
     for n in prefixes:
-        long = (w.end - w.start) > n
+        long = new & ((w.end - w.start) > n)
         parts.append((doc[long], mix(w.span_hash(w.start[long], w.start[long] + n) + np.uint64(100 + n))))
-    d = np.concatenate([p[0] for p in parts]).astype(np.uint64)
+    d = which[np.concatenate([p[0] for p in parts])].astype(np.uint64)
     i = np.concatenate([p[1] for p in parts]) & np.uint64((1 << bits) - 1)
-    key, count = np.unique((d << np.uint64(bits)) | i, return_counts=True)
-    return (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64((1 << bits) - 1)).astype(np.int64), count
+    return np.unique((d << np.uint64(bits)) | i, return_counts=True)
 
 
 def values(doc: np.ndarray, count: np.ndarray, n_docs: int, scaled: bool = True) -> np.ndarray:

@@ -1,7 +1,8 @@
 """Quality classifier: hashed word n-gram logistic regression, trained by FTRL.
 
-Training reads a bounded, hash-chosen sample of labelled rows (``train_rows``); scoring is one
-pass over whole texts with a sparse dot product per document and no shuffle.
+Training reads a bounded, hash-chosen sample of labelled rows (``train_rows`` of them, none of more than
+common.SAMPLE_BYTES bytes); scoring is one pass over whole texts, a long one piece by piece, with a
+sparse dot product per document and no shuffle.
 
 Defined results: a null or empty text has no features and gets the bias alone; a null doc_id is
 scored and never held out; repeated rows are scored one by one; without any labelled row the
@@ -33,8 +34,8 @@ def train(sample: DataFrame, bits: int = BITS, epochs: int = 4) -> np.ndarray:
                 doc, index, count = linear.ngram_features(texts, bits)
                 rows += linear.rows_of(doc, index, linear.values(doc, count, len(texts)), len(texts))
             targets += batch["label"].tolist()
-            ids += batch["doc_id"].tolist()
-        order = np.argsort(np.array(ids, np.int64), kind="stable")
+            ids += batch["doc_id"].astype(str).tolist()
+        order = np.argsort(np.array(ids, object), kind="stable")
         rows, y = [rows[k] for k in order], np.array(targets, float)[order]
         if not len(y):
             return
