@@ -1,20 +1,22 @@
 """Toxicity by weak supervision.
 
-1. Voters.  Lexicon voters come from words and word beginnings that labelled training rows
-   show more often in toxic texts; pattern voters look at how many and how dense such hits are.
-   A voter says toxic, not toxic or nothing.
+1. Voters.  Three views of a text give lexicons of their own: whole words, beginnings of words and
+   characters inside words.  Each lexicon is dealt out to several voters; a voter says toxic if
+   the text holds an entry of its own, not toxic if a text of some length holds none, else
+   nothing.  Pattern voters look at exclamation marks, capitals and drawn-out letters.  Labels choose the entries,
+   and the patterns that are kept, and have no other part.
 2. Label model.  A generative model with one hidden class and a tree of dependences between
    voters (the maximum spanning tree of their mutual information given the class) is fitted by
-   expectation maximisation.  Its tables are the voters' accuracies and correlations; the
-   known labels of training rows enter as a voter of fixed accuracy, so the hidden class stays
-   what they mark while other voters can overrule single labels.
+   expectation maximisation to the votes on labelled and unlabelled rows alike, without their labels.  It begins
+   where two voters agree.  Its tables are the voters' accuracies and correlations.
 3. Classifier.  A linear classifier over hashed words and word beginnings is trained on the
-   model's posterior labels, and scores every document with a sparse dot product.
+   model's posterior labels of all these rows, and scores every document with a sparse dot product.
 
-The model is fitted on a bounded sample (``train_rows``); scoring covers all rows and needs no
+The model is fitted on a bounded sample: ``train_rows`` labelled rows and ``unlabelled_rows`` others, none of
+more than common.SAMPLE_BYTES bytes.  Scoring covers all rows and whole texts, long ones piece by piece, and needs no
 shuffle.  Defined results: null and empty texts have no features and get the bias alone; a null
 doc_id is scored and never held out; repeated rows are scored one by one; without labelled
-rows the score is 0.5.
+rows the score is 0.5; if labels choose no voter, the score is near their mean.
 """
 
 from __future__ import annotations
@@ -33,31 +35,43 @@ from .common import Words, fold, groups, labelled_sample, mix
 
 BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
+INSIDE = 5  # length of the character sequences inside words
 KINDS = {"pairs": False, "shapes": False, "prefixes": PREFIXES, "symbols": False, "scaled": False}
-LEXICON = 96  # entries kept
+#: View -> voters and entries of its lexicon.
+VIEWS = {"words": (3, 60), "beginnings": (3, 60), "inside": (2, 40)}
 CANDIDATES = 3000  # entries considered
-LABEL_NOISE = 0.03  # share of labels that are taken to be wrong
-PER_VOTER = 8  # entries of a lexicon voter
+QUIET = 20  # words of a text in which a lexicon voter that finds nothing says not toxic
+SAYS_TOXIC, SAYS_NOT, SILENT = 1, 0, 2
 
 
-def word_features(texts: list[bytes]) -> list[np.ndarray]:
-    """For each text the hashes of its words and word beginnings, repeats included."""
+def view_features(texts: list[bytes]) -> dict[str, list[np.ndarray]]:
+    """For each view the hashes of what each text holds, repeats included."""
     w = Words(texts, symbols=KINDS["symbols"])
-    if not len(w.start):
-        return [np.zeros(0, np.uint64) for _ in texts]
-    parts = [(w.doc, w.hashes())]
-    for n in PREFIXES:
-        long = (w.end - w.start) > n
-        parts.append((w.doc[long], mix(w.span_hash(w.start[long], w.start[long] + n) + np.uint64(100 + n))))
-    doc = np.concatenate([p[0] for p in parts])
-    h = np.concatenate([p[1] for p in parts])
-    order = np.argsort(doc, kind="stable")
-    doc, h = doc[order], h[order]
-    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-    return [h[a:b] for a, b in zip(cut[:-1], cut[1:])]
-
-
-def find_lexicon(features: list[np.ndarray], y: np.ndarray, size: int = LEXICON, cover: int = 3) -> np.ndarray:
+    length = w.end - w.start
+
+    def cut(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        doc, h = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        order = np.argsort(doc, kind="stable")
+        doc, h = doc[order], h[order]
+        at = np.searchsorted(doc, np.arange(len(texts) + 1))
+        return [h[a:b] for a, b in zip(at[:-1], at[1:])]
+
+    def beginnings(n: int):
+        long = length > n
+        return w.doc[long], mix(w.span_hash(w.start[long], w.start[long] + n) + np.uint64(100 + n))
+
+    def inside(first: int):
+        long = length >= first + INSIDE
+        return w.doc[long], mix(w.span_hash(w.start[long] + first, w.start[long] + first + INSIDE) + np.uint64(7))
+
+    return {
+        "words": cut([(w.doc, w.hashes())]),
+        "beginnings": cut([beginnings(n) for n in PREFIXES]),
+        "inside": cut([inside(k) for k in range(1, 8)]),
+    }
+
+
+def find_lexicon(features: list[np.ndarray], y: np.ndarray, size: int, cover: int = 3) -> np.ndarray:
     """Hashes that occur in far more toxic than other texts, chosen one after the other.
 
     A toxic text counts for an entry until ``cover`` entries are found in it, so the entries reach
@@ -92,24 +106,30 @@ def find_lexicon(features: list[np.ndarray], y: np.ndarray, size: int = LEXICON,
     return key[best[found]]
 
 
-def votes(features: list[np.ndarray], lexicon: np.ndarray) -> np.ndarray:
-    """Votes of every voter on every text: 1 toxic, 0 not toxic, 2 nothing."""
+def lexicon_votes(features: list[np.ndarray], n_words: np.ndarray, lexicon: np.ndarray, voters: int) -> np.ndarray:
+    """Votes of the voters to which a lexicon's entries are dealt out, one column for each."""
     order = np.argsort(lexicon)
     ranked = lexicon[order]
-    n_lists = -(-len(lexicon) // PER_VOTER)
-    out = np.full((len(features), n_lists + 5), 2, np.int8)
+    out = np.full((len(features), voters), SILENT, np.int8)
+    out[n_words >= QUIET] = SAYS_NOT
     for r, f in enumerate(features):
         at = np.searchsorted(ranked, f)
         at[at == len(ranked)] = 0
         hit = order[at[ranked[at] == f]] if len(ranked) else at[:0]
-        counts = np.bincount(hit // PER_VOTER, minlength=max(1, n_lists))
-        out[r, :n_lists][counts[:n_lists] > 0] = 1
-        n_words = max(1, len(f) // 3)
-        out[r, n_lists] = 1 if len(hit) >= 3 else 0 if not len(hit) else 2  # several hits, or none
-        out[r, n_lists + 1] = 1 if len(hit) >= 8 else 2
-        out[r, n_lists + 2] = 1 if 100 * len(hit) > 4 * n_words else 0 if 1000 * len(hit) < n_words else 2  # density
-        out[r, n_lists + 3] = 1 if len(np.unique(hit)) >= 3 else 0 if len(np.unique(hit)) <= 1 else 2  # variety
-        out[r, n_lists + 4] = 0 if not len(hit) and n_words >= 50 else 2  # much text and nothing found
+        out[r, np.unique(hit % voters)] = SAYS_TOXIC
+    return out
+
+
+def pattern_votes(texts: list[bytes], n_words: np.ndarray) -> np.ndarray:
+    """Votes of the patterns: exclamation marks, capitals, drawn-out letters.  None says not toxic."""
+    out = np.full((len(texts), 3), SILENT, np.int8)
+    for r, t in enumerate(texts):
+        b = np.frombuffer(t, np.uint8)
+        upper, lower = ((b >= 65) & (b <= 90)).sum(), ((b >= 97) & (b <= 122)).sum()
+        letter = ((b[:-3] | 32) >= 97) & ((b[:-3] | 32) <= 122) if len(b) > 3 else np.zeros(0, bool)
+        drawn = len(letter) > 0 and (letter & (b[:-3] == b[1:-2]) & (b[:-3] == b[2:-1]) & (b[:-3] == b[3:])).any()
+        for k, fires in enumerate((t.count(b"!") * 30 > n_words[r], upper > 20 and upper > lower, drawn)):
+            out[r, k] = SAYS_TOXIC if fires else SILENT
     return out
 
 
@@ -147,8 +167,8 @@ class LabelModel:
             left.remove(last)
         return parent
 
-    def fit(self, v: np.ndarray, start: np.ndarray, known: np.ndarray | None = None, rounds: int = 25) -> LabelModel:
-        """start: first guess of the class; known: log odds from labels, added to the votes'."""
+    def fit(self, v: np.ndarray, start: np.ndarray, rounds: int = 25) -> LabelModel:
+        """start: first guess of the class."""
         post = np.stack([1 - start, start], 1)
         n = v.shape[1]
         for r in range(rounds):
@@ -161,19 +181,19 @@ class LabelModel:
                 for c in (0, 1):
                     np.add.at(self.tables[j, c], (up, v[:, j]), post[:, c])
             self.tables /= self.tables.sum(3, keepdims=True)
-            new = self.posterior(v, known)
+            new = self.posterior(v)
             done = np.abs(new - post[:, 1]).max() < 1e-4
             post = np.stack([1 - new, new], 1)
             if done:
                 break
         return self
 
-    def posterior(self, v: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+    def posterior(self, v: np.ndarray) -> np.ndarray:
         log = np.log(self.prior)[None, :].repeat(len(v), 0)
         for j in range(v.shape[1]):
             up = v[:, self.parent[j]] if self.parent[j] >= 0 else np.zeros(len(v), int)
             log += np.log(self.tables[j][:, up, v[:, j]]).T
-        return linear.sigmoid(log[:, 1] - log[:, 0] + (0 if known is None else known))
+        return linear.sigmoid(log[:, 1] - log[:, 0])
 
     def accuracies(self, v: np.ndarray) -> list[float]:
         """Estimated share of each voter's votes that agree with the hidden class."""
@@ -182,24 +202,51 @@ class LabelModel:
         return (agree.sum(0) / np.maximum(1, (v < 2).sum(0))).round(4).tolist()
 
 
-def fit(ids, texts, labels, bits: int = BITS, epochs: int = 4) -> tuple[np.ndarray, dict]:
-    """Weights of the classifier and a report on the label model, from a bounded sample."""
-    order = np.argsort(np.asarray(ids, np.int64), kind="stable")
-    texts, y = [texts[k] for k in order], np.asarray(labels, int)[order]
-    features, rows = [], []
+def fit(ids, texts, labels, bits: int = BITS, epochs: int = 6) -> tuple[np.ndarray, dict]:
+    """Weights of the classifier and a report on the label model, from a bounded sample.
+
+    Labels that are neither 0 nor 1 mean unlabelled rows.
+    """
+    order = np.argsort(np.asarray(ids, object).astype(str), kind="stable")
+    texts, labels = [texts[k] for k in order], np.asarray(labels, float)[order]
+    known = np.isin(labels, (0, 1))
+    y = labels[known].astype(int)
+    seen: dict[str, list[np.ndarray]] = {k: [] for k in VIEWS}
+    rows, n_words, patterns = [], [], []
     for _, group in groups(texts):
-        features += word_features(group)
+        found = view_features(group)
+        n = np.array([len(f) for f in found["words"]])
+        n_words.append(n)
+        patterns.append(pattern_votes(group, n))
+        for k in VIEWS:
+            seen[k] += found[k]
         doc, index, count = linear.ngram_features(group, bits, **{k: x for k, x in KINDS.items() if k != "scaled"})
         rows += linear.rows_of(doc, index, linear.values(doc, count, len(group), KINDS["scaled"]), len(group))
-    lexicon = find_lexicon(features, y)
-    v = votes(features, lexicon)
-    known = np.where(y == 1, 1.0, -1.0) * np.log((1 - LABEL_NOISE) / LABEL_NOISE)
-    model = LabelModel().fit(v, 0.9 * y + 0.05, known)
-    target = model.posterior(v, known)
-    share = np.clip(target.mean(), 0.05, 0.95)
-    weight = np.where(target > 0.5, 0.5 / share, 0.5 / (1 - share)) ** 0.5
-    w = linear.Ftrl(bits, alpha=0.5, l1=2.0, l2=0.1).fit(rows, target, weight, epochs)
-    return w, {"lexicon": len(lexicon), "accuracies": model.accuracies(v), "parents": model.parent.tolist(), "prior": model.prior.round(4).tolist()}
+    words = np.concatenate(n_words)
+    columns, entries = [], {}
+    for view, (voters, size) in VIEWS.items():
+        lexicon = find_lexicon([f for f, k in zip(seen[view], known) if k], y, size)
+        entries[view] = len(lexicon)
+        if len(lexicon):
+            columns.append(lexicon_votes(seen[view], words, lexicon, min(voters, len(lexicon))))
+    fired = np.concatenate(patterns)
+    for k in range(fired.shape[1]):
+        said = fired[known, k] == SAYS_TOXIC
+        if said.sum() >= 5 and y[said].mean() > 0.5:
+            columns.append(fired[:, k : k + 1])
+    report = {"lexicon": entries, "voters": 0, "rows": len(texts), "labelled": int(known.sum())}
+    if columns:
+        v = np.concatenate(columns, 1)
+        model = LabelModel().fit(v, np.where((v == SAYS_TOXIC).sum(1) > min(1, v.shape[1] - 1), 0.9, 0.1))
+        target = model.posterior(v)
+        report |= {
+            "voters": v.shape[1], "accuracies": model.accuracies(v), "parents": model.parent.tolist(), "prior": model.prior.round(4).tolist(),
+            "differ": int(((target[known] > 0.5) != y).sum()),
+        }
+    else:
+        target = np.full(len(texts), y.mean() if len(y) else 0.5)
+    w = linear.Ftrl(bits, alpha=0.3, l1=2.0, l2=0.1).fit(rows, target, np.ones(len(rows)), epochs)
+    return w, report
 
 
 def train(sample: DataFrame, bits: int = BITS) -> tuple[np.ndarray, dict]:
@@ -207,7 +254,7 @@ def train(sample: DataFrame, bits: int = BITS) -> tuple[np.ndarray, dict]:
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([*batches, pd.DataFrame({"doc_id": [], "text": [], "label": []})])
-        if not len(rows):
+        if not rows["label"].isin([0, 1]).any():
             return
         w, report = fit(rows["doc_id"].tolist(), rows["text"].tolist(), rows["label"].tolist(), bits)
         i = np.flatnonzero(w)
@@ -238,9 +285,9 @@ def score_documents(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> D
     return docs.withColumn("score", probability(F.col("text")))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, parts: int = 5, held_out: int = 0) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, unlabelled_rows: int = 6000, parts: int = 5, held_out: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    weights, _ = train(labelled_sample(docs, labels, "toxic", parts, held_out, train_rows))
+    weights, _ = train(labelled_sample(docs, labels, "toxic", parts, held_out, train_rows, unlabelled_rows))
     scored = score_documents(docs.select("doc_id", "text"), weights)
     return scored.select(
         "doc_id",
