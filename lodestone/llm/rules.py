@@ -4,7 +4,8 @@ The ratio of UTF-8 bytes to their zstandard size tells repetitive text (far too
 incompressible text (far too low) apart from prose, whose ratio lies in a narrow band that
 moves with the length compressed.  Whole documents and each fixed chunk are held to the band
 of their own length; a document fails if it is outside, or if more than a share of its chunks
-are.  One pass over whole texts, no shuffle, memory bounded by a group of texts.
+are.  One pass over whole texts, one at a time, and no shuffle.  Counts are exact: words are numbered by
+their value, not hashed.
 
 Defined results: null and empty texts have no words and fail the base rules; a null doc_id is
 kept as it is; repeated rows are judged one by one.
@@ -20,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, groups, mix
+from .common import packed
 
 LEVEL = 3
 CHUNK = 2048
@@ -41,9 +42,10 @@ MAX_BAD_CHUNKS = 0.3
 MIN_CHUNK = 512  # a shorter last chunk belongs to the one before
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
-
-_SYMBOL = np.zeros(256, bool)
-_SYMBOL[list(SYMBOLS)] = True
+SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
+#: What is no first byte of a code point in a word.
+_NOT_COUNTED = SPACES + bytes(range(0x80, 0xC0))
+PART = 1 << 20  # bytes cut into words at a time
 
 
 def limits(n_bytes: int) -> tuple[float, float]:
@@ -69,56 +71,57 @@ def compression(data: bytes, zip_: zstandard.ZstdCompressor) -> tuple[float, flo
     return whole, share, low <= whole <= high and share <= MAX_BAD_CHUNKS
 
 
-def repeated_words(w: Words) -> np.ndarray:
-    """For each text, the words in windows of WINDOW words that the text holds twice or more."""
-    n = len(w.start)
-    out = np.zeros(w.n_docs, np.int64)
-    if n < WINDOW:
-        return out
-    h = w.hashes()
-    key = np.zeros(n - WINDOW + 1, np.uint64)
-    for i in range(WINDOW):
-        key = mix(key * np.uint64(31) + h[i : n - WINDOW + 1 + i])
-    inside = w.doc[WINDOW - 1 :] == w.doc[: n - WINDOW + 1]
-    at = np.flatnonzero(inside)
-    key = mix(key[at] + w.doc[at].astype(np.uint64))
-    _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-    twice = at[count[inverse] > 1]
-    cover = np.zeros(n + 1, np.int64)
+def word_numbers(text: bytes) -> np.ndarray:
+    """The words of a text as numbers, equal for equal words."""
+    number: dict[bytes, int] = {}
+    out, at = [], 0
+    while at < len(text):
+        end = min(at + PART, len(text))
+        while end < len(text) and text[end] not in SPACES:  # a word is not cut
+            near = min((k for k in (text.find(c, end, end + PART) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if k >= 0), default=min(end + PART, len(text)))
+            end = near
+        out.append(np.array([number.setdefault(w, len(number)) for w in text[at:end].split()], np.int64))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def repeated_words(ids: np.ndarray) -> int:
+    """How many words lie in windows of WINDOW words that occur twice or more.
+
+    Windows are numbered by doubling: those of 2 words by the numbers of their two words, those of 4
+    by their two halves, and so on, so equal numbers mean equal words.
+    """
+    if len(ids) <= WINDOW:
+        return 0
+    number, width = ids, 1
+    while width < WINDOW:
+        pair = number[: len(number) - width] * (int(number.max()) + 1) + number[width:]
+        width *= 2
+        if width < WINDOW:
+            number = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+    _, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
+    twice = np.flatnonzero(count[inverse] > 1)
+    if not len(twice):
+        return 0
+    cover = np.zeros(len(ids) + 1, np.int64)
     np.add.at(cover, twice, 1)
     np.add.at(cover, twice + WINDOW, -1)
-    return np.bincount(w.doc[np.cumsum(cover)[:n] > 0], minlength=w.n_docs)
+    return int((np.cumsum(cover) > 0).sum())
 
 
 def repeated_lines(text: bytes) -> int:
     """Lines with a word that equal an earlier line."""
-    lines = [x for x in text.split(b"\n") if x.strip(b" \t\n\x0b\x0c\r")]
+    if b"\n" not in text:
+        return 0
+    lines = [x for x in text.split(b"\n") if x.strip(SPACES)]
     return len(lines) - len(set(lines))
 
 
-def judge(texts: list[bytes], zip_: zstandard.ZstdCompressor) -> pd.DataFrame:
-    w = Words(texts, lower=False)
-    n_words = np.bincount(w.doc, minlength=len(texts))
-
-    def total(flag: np.ndarray) -> np.ndarray:
-        """Flagged bytes of each text."""
-        sums = np.concatenate([[0], np.cumsum(flag)])
-        first = np.cumsum([1] + [len(t) + 1 for t in texts])
-        return sums[first[1:] - 1] - sums[first[:-1]]
-
-    space = np.zeros(256, bool)
-    space[[32, 9, 10, 11, 12, 13]] = True
-    found = [compression(t, zip_) for t in texts]
-    return pd.DataFrame({
-        "n_words": n_words,
-        "word_chars": total(((w.raw & 0xC0) != 0x80) & ~space[w.raw]),
-        "n_symbols": total(_SYMBOL[w.raw]),
-        "n_dup_lines": [repeated_lines(t) for t in texts],
-        "n_repeat_words": repeated_words(w),
-        "ratio": [f[0] for f in found],
-        "bad_chunks": [f[1] for f in found],
-        "in_band": [f[2] for f in found],
-    })
+def judge(text: bytes, zip_: zstandard.ZstdCompressor) -> tuple:
+    """The counts of one text, in the order of _FOUND."""
+    ids = word_numbers(text)
+    chars, symbols = len(text.translate(None, _NOT_COUNTED)), len(text) - len(text.translate(None, SYMBOLS))
+    return len(ids), chars, symbols, repeated_lines(text), repeated_words(ids), *compression(text, zip_)
 
 
 _FOUND = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double, bad_chunks double, in_band boolean"
@@ -126,19 +129,18 @@ _FOUND = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 def _judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     zip_ = zstandard.ZstdCompressor(level=LEVEL)
+    names = [x.split()[0] for x in _FOUND.split(", ")]
     for texts in batches:
-        out = [judge(group, zip_) for _, group in groups(texts)]
-        yield pd.concat(out, ignore_index=True) if out else judge([], zip_)
+        yield pd.DataFrame([judge(t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"", zip_) for t in texts], columns=names)
 
 
 def apply_rules(docs: DataFrame, text: str = "text", min_words: int = 20, max_repeat: int = 30) -> DataFrame:
     """Every column of docs but those named as a result, the counts, base_failed and kept."""
     names = {*(x.split()[0] for x in _FOUND.split(", ")), "base_failed", "kept"}
-    own = [c for c in docs.columns if c not in names]
-    with_found = docs.select(*own, F.pandas_udf(_judged, _FOUND)(F.col(text)).alias("__found"))
+    own = [c for c in docs.columns if c.lower() not in names]
+    found = docs.select(packed(docs.select(*own)), F.pandas_udf(_judged, _FOUND)(F.col(text)).alias("found")).select("row", "found.*")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
+    counts = [x.split()[0] for x in _FOUND.split(", ")]
     return (
-        with_found.select(*own, "__found.*")
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & F.col("in_band"))
+        found.select("row", *counts, failed.alias("base_failed"), (~failed & F.col("in_band")).alias("kept")).select("row.*", *counts, "base_failed", "kept")
     )
