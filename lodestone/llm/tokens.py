@@ -12,7 +12,9 @@ left to the library as a whole: those that hold the string of an added token, wh
 finds before it normalises, and those with characters outside a list of scripts, where two
 versions of Unicode could cut or lower-case differently.
 
-One pass over whole texts and no shuffle; each task holds a bounded memory of merged pre-tokens.
+One pass over whole texts and no shuffle; each task holds a bounded memory of merged pre-tokens and
+counts a long text piece by piece, cut at a space: no pre-token and no added token holds one, and
+normalising does not reach across it.
 Defined results: a null text counts as empty, with 0 bytes and 0 tokens; null doc_ids and
 repeated rows are counted as they are.
 """
@@ -22,8 +24,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -33,6 +36,7 @@ from tokenizers import Tokenizer
 #: Pre-tokens of word_bpe_49k.json, as its file states them (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MEMORY = 1 << 19  # pre-tokens that a worker remembers
+PIECE = 1 << 18  # characters counted at a time
 #: Code points that every version of Unicode in use cuts and lower-cases alike, one by one:
 #: Latin, combining marks, Cyrillic, general punctuation.
 _PLAIN = [*range(0x00, 0x1C), *range(0x20, 0x250), *range(0x300, 0x370), *range(0x400, 0x482), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC]
@@ -129,10 +133,38 @@ def _bytes_of() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def pieces(text: str, limit: int = PIECE) -> Iterator[str]:
+    """A text cut behind spaces into pieces of about ``limit`` characters; runs without a space are not cut."""
+    at = 0
+    while len(text) - at > limit:
+        space = text.rfind(" ", at, at + limit)
+        end = (space if space >= 0 else text.find(" ", at + limit)) + 1
+        if not end:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def batches_of(texts: Iterable, limit: int = PIECE) -> Iterator[tuple[list[int], list[str]]]:
+    """Pieces of texts in batches of about ``limit`` characters, with the place of the text of each."""
+    which, out, size = [], [], 0
+    for i, t in enumerate(texts):
+        for piece in pieces(t) if isinstance(t, str) else ("",):
+            if out and size + len(piece) > limit:
+                yield which, out
+                which, out, size = [], [], 0
+            which.append(i)
+            out.append(piece)
+            size += len(piece)
+    if out:
+        yield which, out
+
+
 _COUNTERS: dict[str, Counter49k] = {}
 
 
-def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 2048, group: int = 256) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 2048) -> DataFrame:
     """Every column of docs and n_bytes, n_tokens, over_limit; same-named columns give way."""
     spark = docs.sparkSession
     # the vocabulary's size is fixed by the file (under 50,000 strings), whatever the corpus
@@ -144,12 +176,12 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 20
             _COUNTERS[path] = Counter49k(path, proved.value)
         counter = _COUNTERS[path]
         for texts in batches:
-            out: list[int] = []
-            for i in range(0, len(texts), group):
-                out += counter.count([t if isinstance(t, str) else "" for t in texts.iloc[i : i + group]])
-            yield pd.Series(out, dtype="int64")
+            out = np.zeros(len(texts), np.int64)
+            for which, part in batches_of(texts):
+                np.add.at(out, which, counter.count(part))
+            yield pd.Series(out)
 
-    own = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
+    own = [c for c in docs.columns if c.lower() not in ("n_bytes", "n_tokens", "over_limit")]
     whole = F.coalesce(F.col(text), F.lit(""))
     return docs.select(*own, F.octet_length(whole).cast("long").alias("n_bytes"), tokens(F.col(text)).alias("n_tokens")).withColumn(
         "over_limit", F.col("n_tokens") > limit
