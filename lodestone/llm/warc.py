@@ -2,12 +2,15 @@
 
 Writing.  Each record is a gzip member of its own; the member's extra field holds its length.  A
 task writes files of bounded size under names of its own, and the commit lists the files of the
-tasks that succeeded in a manifest, so files of lost or repeated attempts are never read.
+tasks that succeeded in a manifest, so files of lost or repeated attempts are never read.  The manifest also
+holds where in a file reading can begin, one place every SPLIT_BYTES or so.
 
-Reading.  The manifest (or, without one, the folder) gives the files, which are packed into
-partitions by size.  Predicates on the columns that come from headers are pushed down; a
-reader inflates just enough of a record to parse its headers, and if they fail a predicate, or if
-payloads are not asked for, passes over the rest of the member without inflating it.
+Reading.  The manifest (or, without one, the folder) gives the files, which are cut at those places and
+packed into partitions by size, so tasks grow with bytes.  Predicates on the columns that come from headers
+are pushed down; a reader inflates just enough of a record to parse its headers, and if they fail a predicate,
+or if payloads are not asked for, passes over the rest of the member without inflating it.  Members of other
+writers may hold any number of records, or a part of one file's only member: all are read, and those not wanted are inflated
+without being kept.
 
 Paths may be local, ``file:`` or of any store that pyarrow knows.
 """
@@ -39,10 +42,10 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from .common import shared_dir
+from .common import shared_dir, sized, written
 
 SCHEMA = (
-    "record_type string, record_id string, refers_to string, target_uri string, "
+    "record_type string, record_id string, refers_to string, target_uri string, date string, "
     "payload_digest string, payload_bytes long, payload binary"
 )
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -51,10 +54,16 @@ _HEADERS = {
     "record_id": "WARC-Record-ID",
     "refers_to": "WARC-Refers-To",
     "target_uri": "WARC-Target-URI",
+    "date": "WARC-Date",
     "payload_digest": "WARC-Payload-Digest",
 }
 _ARROW = pa.schema([(c, pa.binary() if c == "payload" else pa.int64() if c == "payload_bytes" else pa.string()) for c in COLUMNS])
 FILE_BYTES = 256 << 20
+SPLIT_BYTES = 2 << 20
+#: Compressed bytes of a partition: as many as make MOST_PARTITIONS of all, within these bounds.
+PARTITION_BYTES = (8 << 20, 128 << 20)
+MOST_PARTITIONS = 20_000
+READ_AHEAD = 1 << 18
 BATCH_BYTES = 8 << 20
 MANIFEST = "manifest.json"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -102,89 +111,139 @@ def member(data: bytes, level: int = 6) -> bytes:
     return head + extra + body + struct.pack("<LL", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
-class Members:
-    """Goes through the gzip members of a file; reads ahead in blocks, skips by seeking."""
+class Source:
+    """A file that is read ahead in blocks; what lies behind the block is skipped by seeking."""
 
-    def __init__(self, file, size: int, block: int = 1 << 16):
-        self.file, self.size, self.block, self.at = file, size, block, 0
+    def __init__(self, file, block: int = READ_AHEAD):
+        self.file, self.block, self.first, self.held = file, block, 0, b""
 
-    def __iter__(self) -> Iterator[Inflated]:
-        while self.at < self.size:
-            one = Inflated(self, self.at)
-            yield one
-            self.at = one.finish()
+    def get(self, at: int, n: int) -> bytes:
+        """Up to n bytes from a place on; none at the end."""
+        if not self.first <= at < self.first + len(self.held):
+            self.file.seek(at)
+            self.first, self.held = at, self.file.read(self.block)
+        return self.held[at - self.first : at - self.first + n]
 
 
-class Inflated:
-    """One member, inflated as far as it is asked for."""
+class Member:
+    """One gzip member, inflated as far as it is asked for; what was used is let go."""
 
-    def __init__(self, members: Members, at: int):
-        self.members, self.at, self.read = members, at, 0
+    def __init__(self, source: Source, at: int):
+        self.source, self.at, self.used = source, at, 0
         self.inflate = zlib.decompressobj(31)
         self.data = bytearray()
-        head = self._more(32)
-        if len(head) < 18:
-            raise ValueError(f"truncated gzip member at byte {at}")
-        has_length = head[3] & 4 and head[12:14] == _MARK
-        self.length = struct.unpack("<L", head[16:20])[0] if has_length else None
-
-    def _more(self, n: int) -> bytes:
-        self.members.file.seek(self.at + self.read)
-        raw = self.members.file.read(n)
-        self.read += len(raw)
-        self.data += self.inflate.decompress(raw)
-        return raw
-
-    def until(self, n: int = -1, mark: bytes = b"") -> bytearray:
-        """Inflate until n bytes, the mark, or the end are there."""
-        while not self.inflate.eof and not (0 <= n <= len(self.data)) and not (mark and mark in self.data):
-            if not self._more(self.members.block):
+        head = source.get(at, 32)
+        if len(head) < 32:
+            head = b"".join(source.get(at + k, 1) for k in range(32))
+        if len(head) < 18 or head[:2] != b"\x1f\x8b":
+            raise ValueError(f"no gzip member at byte {at}")
+        #: Length of the whole member where its writer states it; such a member holds one record.
+        self.length = struct.unpack("<L", head[16:20])[0] if head[3] & 4 and head[12:14] == _MARK else None
+
+    def more(self) -> bool:
+        """Inflate some more; false at the member's end."""
+        if self.inflate.eof:
+            return False
+        raw = self.inflate.unconsumed_tail
+        if not raw:
+            # small steps: a record's headers need few bytes
+            raw = self.source.get(self.at + self.used, 4096 if not self.used else 1 << 16)
+            if not raw:
                 raise ValueError(f"truncated gzip member at byte {self.at}")
-        return self.data
-
-    def finish(self) -> int:
+            self.used += len(raw)
+        self.data += self.inflate.decompress(raw, 1 << 20)
+        return True
+
+    def until(self, mark: bytes, begin: int = 0) -> int:
+        """The place of a mark in the data, or -1 if the member ends before it."""
+        while True:
+            found = self.data.find(mark, begin)
+            if found >= 0:
+                return found
+            begin = max(begin, len(self.data) - len(mark) + 1)
+            if not self.more():
+                return -1
+
+    def take(self, n: int) -> bytes:
+        """The next n bytes."""
+        while len(self.data) < n and self.more():
+            pass
+        out = bytes(self.data[:n])
+        del self.data[:n]
+        return out
+
+    def skip(self, n: int) -> None:
+        """Pass over n bytes, never holding more than a block of them."""
+        while n > len(self.data):
+            n -= len(self.data)
+            self.data.clear()
+            if not self.more():
+                return
+        del self.data[:n]
+
+    def end(self) -> int:
         """Where the next member begins; what was not inflated stays so if the length is known."""
         if self.length is not None:
             return self.at + self.length
-        self.until()
-        return self.at + self.read - len(self.inflate.unused_data)
+        while self.more():
+            self.data.clear()
+        return self.at + self.used - len(self.inflate.unused_data)
 
 
 def headers(block: bytes) -> dict[str, str]:
     out = {}
-    for line in block.decode("utf-8").split("\r\n")[1:]:
+    for line in block.decode("utf-8", "replace").split("\r\n")[1:]:
         name, _, value = line.partition(":")
         out[name.strip().lower()] = value.strip()
     return out
 
 
-def read_file(path: str, accept, payload: bool) -> Iterator[dict]:
-    """Records of a file whose header columns ``accept`` takes."""
-    where, name = place(path)
-    size = where.get_file_info(name).size
-    with where.open_input_file(name) as file:
-        for one in Members(file, size):
-            one.until(mark=b"\r\n\r\n")
-            end = one.data.index(b"\r\n\r\n")
-            h = headers(bytes(one.data[:end]))
-            row = {c: _unline(h[n.lower()]) if n.lower() in h else None for c, n in _HEADERS.items()}
-            if not accept(row):
-                continue
-            start, length = end + 4, int(h["content-length"])
+def records(member: Member, accept, payload: bool) -> Iterator[dict]:
+    """Rows of a member's records whose header columns ``accept`` takes."""
+    while True:
+        while member.data[:1] in (b"\r", b"\n") or (not member.data and member.more()):  # lines between records
+            if member.data[:1] in (b"\r", b"\n"):
+                del member.data[:1]
+        end = member.until(b"\r\n\r\n")
+        if end < 0:
+            if member.data.strip():
+                raise ValueError(f"no complete headers in the member at byte {member.at}")
+            return
+        h = headers(member.take(end + 4)[:end])
+        length = int(h["content-length"])
+        row = {c: _unline(h[n.lower()]) if n.lower() in h else None for c, n in _HEADERS.items()}
+        if accept(row):
             row |= {"payload_bytes": length, "payload": None}
-            http = h.get("content-type", "").startswith("application/http") and length > 0
-            skip = 0
-            if http:
-                while b"\r\n\r\n" not in one.data[start:] and not one.inflate.eof:
-                    one.until(len(one.data) + 1)
-                inner = one.data.find(b"\r\n\r\n", start)
-                if inner >= 0:
-                    skip = inner + 4 - start
-                    stated = headers(bytes(one.data[start:inner])).get("content-length")
-                    row["payload_bytes"] = int(stated) if stated else length - skip
+            rest = length
+            if h.get("content-type", "").startswith("application/http") and length > 0:
+                inner = member.until(b"\r\n\r\n")
+                if 0 <= inner <= length - 4:
+                    http = headers(member.take(inner + 4)[:inner])
+                    rest = length - inner - 4
+                    stated = http.get("content-length", "")
+                    row["payload_bytes"] = int(stated) if stated.isdigit() else rest
             if payload and row["record_type"] != "revisit":
-                row["payload"] = bytes(one.until(start + length)[start + skip : start + length])
+                row["payload"] = member.take(rest)
+                rest = 0
             yield row
+        else:
+            rest = length
+        if member.length is not None:
+            return
+        member.skip(rest)
+
+
+def read_file(path: str, accept, payload: bool, start: int = 0, stop: int | None = None) -> Iterator[dict]:
+    """Records of the members of a file that begin in [start, stop)."""
+    where, name = place(path)
+    size = where.get_file_info(name).size
+    stop = size if stop is None else min(stop, size)
+    with where.open_input_file(name) as file:
+        source, at = Source(file), start
+        while at < stop:
+            one = Member(source, at)
+            yield from records(one, accept, payload)
+            at = one.end()
 
 
 # --- data source -----------------------------------------------------------------------
@@ -208,18 +267,18 @@ class WarcSource(DataSource):
 
 
 @dataclass
-class Files(InputPartition):
-    paths: list[str]
+class Ranges(InputPartition):
+    ranges: list[tuple[str, int, int | None]]  # file, first byte, byte behind the last
 
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, ranges: list[tuple[str, int, int | None]]):
+        self.ranges = ranges
 
 
 class WarcReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"].rstrip("/")
         self.payload = str(options.get("payload", "true")).lower() != "false"
-        self.target = int(options.get("partition_bytes", 64 << 20))
+        self.target = int(options.get("partition_bytes", 0))
         self.tests: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]):
@@ -242,21 +301,29 @@ class WarcReader(DataSourceReader):
         manifest = f"{root}/{MANIFEST}"
         if where.get_file_info(manifest).type == fs.FileType.File:
             with where.open_input_file(manifest) as f:
-                files = [(x["file"], x["bytes"]) for x in json.loads(f.read())["files"]]
+                files = [(x["file"], x["bytes"], x.get("splits", [])) for x in json.loads(f.read())["files"]]
         else:
             found = where.get_file_info(fs.FileSelector(root, allow_not_found=True))
-            files = [(x.base_name, x.size) for x in found if x.base_name.endswith(".warc.gz")]
-        packs: list[list[str]] = []
+            files = [(x.base_name, x.size, []) for x in found if x.base_name.endswith(".warc.gz")]
+        target = self.target or min(max(PARTITION_BYTES[0], sum(f[1] for f in files) // MOST_PARTITIONS), PARTITION_BYTES[1])
+        parts = []
+        for name, size, splits in sorted(files):
+            edges = [0, *(x for x in splits if 0 < x < size), size]
+            parts += [(f"{self.path}/{name}", a, b) for a, b in zip(edges[:-1], edges[1:])]
+        packs: list[list[tuple[str, int, int | None]]] = []
         room = 0
-        for name, size in sorted(files, key=lambda x: (-x[1], x[0])):
-            if not packs or room < size:
+        for path, a, b in parts:
+            if not packs or room < b - a:
                 packs.append([])
-                room = self.target
-            packs[-1].append(f"{self.path}/{name}")
-            room -= size
-        return [Files(p) for p in packs] or [Files([])]
+                room = target
+            if packs[-1] and packs[-1][-1][0] == path and packs[-1][-1][2] == a:
+                packs[-1][-1] = (path, packs[-1][-1][1], b)
+            else:
+                packs[-1].append((path, a, b))
+            room -= b - a
+        return [Ranges(p) for p in packs] or [Ranges([])]
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         def accept(row: dict) -> bool:
             for column, kind, value in self.tests:
                 x = row[column]
@@ -265,8 +332,8 @@ class WarcReader(DataSourceReader):
             return True
 
         rows, size = [], 0
-        for path in partition.paths:
-            for row in read_file(path, accept, self.payload):
+        for path, start, stop in partition.ranges:
+            for row in read_file(path, accept, self.payload, start, stop):
                 rows.append(row)
                 size += len(row["payload"] or b"") + 200
                 if size >= BATCH_BYTES:
@@ -288,19 +355,21 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator) -> Written:
         where, root = place(self.path)
         where.create_dir(root, recursive=True)
-        done, out, name, size, count = Written(), None, "", 0, 0
+        done, out, name, size, count, splits = Written(), None, "", 0, 0, [0]
 
         def close() -> None:
             if out is not None:
                 out.close()
-                done.files.append({"file": name, "bytes": size, "records": count})
+                done.files.append({"file": name, "bytes": size, "records": count, "splits": splits[1:]})
 
         for batch in iterator:
             for row in batch.to_pylist():
                 if out is None or size >= FILE_BYTES:
                     close()
-                    name, size, count = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0
+                    name, size, count, splits = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0, [0]
                     out = where.open_output_stream(f"{root}/{name}", compression=None)
+                if size - splits[-1] >= SPLIT_BYTES:
+                    splits.append(size)
                 data = member(record(row))
                 out.write(data)
                 size += len(data)
@@ -342,9 +411,11 @@ def as_records(pages: DataFrame, least: int = 1000) -> DataFrame:
     response and others revisit it.  Rows that repeat that page_id are responses too; a null
     page_id is a revisit if any row with its payload has an id, and else a response; a null html
     is an empty payload, and shorter payloads are always responses.  The largest ids
-    are aggregated by digest before they are shuffled, and only digests that occur more than
-    once are joined.
+    are aggregated by digest before they are shuffled.  Digests that occur more than once are a table of
+    their own; if it was counted to be small it is broadcast, so that payloads are written where they are read,
+    and else payloads are shuffled to it.
     """
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", body.alias("payload")).select(
         "page_id", "url", "payload", F.sha1("payload").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes")
@@ -357,13 +428,15 @@ def as_records(pages: DataFrame, least: int = 1000) -> DataFrame:
         .where("n > 1 AND first IS NOT NULL")
         .drop("n")
     )
+    repeated = written(repeated, "warc-digests")
     same = (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") == F.col("size"))
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    return rows.join(repeated, same, "left").select(
+    return rows.join(sized(repeated, repeated.count()), same, "left").select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.format_string("<urn:page:%s>", F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("record_id"),
         F.when(revisit, F.format_string("<urn:page:%s>", F.col("first").cast("string"))).alias("refers_to"),
         F.col("url").alias("target_uri"),
+        now.alias("date"),
         F.concat(F.lit("sha1:"), "payload_digest").alias("payload_digest"),
         "payload_bytes",
         F.when(~revisit, F.col("payload")).alias("payload"),
@@ -394,14 +467,15 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
     Size and digest of responses are taken anew from the payload that was read.
     """
-    back = read_archives(pages.sparkSession, write_pages(pages))
-    response = F.col("record_type") == "response"
-    return back.select(
-        page_id("record_id").alias("page_id"),
-        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(response, F.sha1("payload")).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
-        "record_type",
-        page_id("refers_to").alias("refers_to"),
+    spark, path = pages.sparkSession, write_pages(pages)
+    # each test goes to the reader, which passes over the other kind of record by its headers; revisits need no payload
+    response = read_archives(spark, path).where("record_type = 'response'")
+    revisit = read_archives(spark, path, payload=False).where("record_type = 'revisit'")
+    of = lambda c: page_id(c).alias("refers_to" if c == "refers_to" else "page_id")
+    return response.select(
+        of("record_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", of("refers_to")
+    ).unionByName(
+        revisit.select(of("record_id"), "payload_bytes", F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "record_type", of("refers_to"))
     )
 
 
