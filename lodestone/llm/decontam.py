@@ -1,26 +1,31 @@
 """Benchmark decontamination: item-sized windows, SimHash blocks, exact weighted similarity.
 
-Texts are lower-cased and cut into words of letters and digits; shingles are five words.
+Texts are lower-cased and cut into words of letters and digits; shingles are five words, and the only
+shingle of a shorter text is all its words.  A window is as many shingles of a document in a row as the item has (all of a
+shorter document), at any place.
 
 1. Seeds.  Similarity of at least ``least`` needs that share of an item's shingles, so one of its
    rarest (1 - least) n + 1 shingles must occur in the document (prefix filter: nothing is lost).
-   Documents are scanned once for those; any window without a shared shingle has similarity 0.
-2. Windows.  In the documents found, each shared shingle aligns an item with a window as long as
-   the item (cut at the document's ends).  Equal windows are fingerprinted once.
+   Documents are scanned once for those.
+2. Windows.  In the documents found, the places of shared shingles are put in order.  A window that begins between
+   two of them can move to the next one without losing any, so windows begin at shared places (or end with the
+   document); one that reaches no further shared place than the window before holds no more of them, and
+   one with fewer shared places than ``least`` needs is too far off.  The rest, counted by a running sum and so
+   in any order of the passage's parts, holds a best window of every pair.  Equal windows are fingerprinted once.
 3. Multi-index.  64-bit fingerprints of windows and items are cut into BLOCKS blocks.  Each item is
    indexed under all values within BLOCK_RADIUS bits of each block.  Fingerprints within
    RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1 bits have a block within BLOCK_RADIUS, so all of these meet.
    A window similar enough differs by some 9 bits, 19 being over three deviations away.  That holds for
-   bags of distinct shingles, FEW or more; an item and a window aligned with it meet without
+   bags of distinct shingles, FEW or more; an item and a window of its own meet without
    fingerprints if either bag has repeats or fewer shingles.
 4. Verification.  Weighted Jaccard similarity of the two bags of shingles, each weighing as often as it
    occurs: the sum of the lesser counts over the sum of the greater.
 
-The benchmark's shingles are broadcast only if their counted size is below common.BROADCAST_ROWS; beyond
-that the join is by shuffle.  The same holds for the keys of documents found.
+The benchmark's seeds and shingles are broadcast only if their counted number is below common.BROADCAST_ROWS;
+beyond that the join is by shuffle.  The same holds for the keys of documents found.
 
-Defined results: null and empty texts match nothing; items of fewer than five words are too short
-to tell and are not searched; items with equal words are searched once and all reported; rows that
+Defined results: null and empty texts match nothing; an item of fewer than five words is found in documents of just
+these words; items with equal words are searched once and all reported; rows that
 repeat a doc_id and text are reported once; a null doc_id is reported as null.
 """
 
@@ -28,10 +33,10 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, sized, written
+from .common import dropped, let, packed, sized, written
 
 WIDTH = 5
 BLOCKS, BLOCK_RADIUS = 5, 3
@@ -44,26 +49,39 @@ def normal_words(text: Column) -> Column:
 
 
 def shingles(words: Column) -> Column:
-    """Hashes of the shingles at each place; none if there are too few words."""
+    """Hashes of the shingles at each place; all words are the one shingle of a shorter text, none that of an empty one."""
 
     def hashed(ws: Column) -> Column:
-        places = F.when(F.size(ws) >= WIDTH, F.sequence(F.lit(1), F.size(ws) - (WIDTH - 1))).otherwise(F.expr("CAST(array() AS array<int>)"))
+        last = F.greatest(F.size(ws) - (WIDTH - 1), F.lit(1))
+        places = F.when(F.size(ws) > 0, F.sequence(F.lit(1), last)).otherwise(F.expr("CAST(array() AS array<int>)"))
         return F.transform(places, lambda i: F.xxhash64(F.slice(ws, i, WIDTH)))
 
     return let(words, hashed)  # cut into words once, not for each place
 
 
-def fingerprint(hashes: Column) -> Column:
-    """64-bit SimHash: each bit is the majority of the hashes', repeats included."""
+def _majority(hashes: Column, width: int) -> Column:
+    """Bits set in over half of the hashes.  Sums of ``width`` bits lie side by side in one number."""
+    lanes = 64 // width
+    ones = sum(1 << (width * j) for j in range(lanes))
+
+    def total(k: int) -> Column:
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda n, h: n + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ones).cast("long")))
 
-    def bit(k: int) -> Column:
-        ones = F.aggregate(hashes, F.lit(0), lambda n, h: n + F.getbit(h, F.lit(k)))
-        return F.when(2 * ones > F.size(hashes), F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
+    def bits(sums: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for k in range(width):
+            for j in range(lanes):
+                count = F.shiftrightunsigned(sums[k], width * j).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+                bit = 1 << (width * j + k)
+                out = out.bitwiseOR(F.when(2 * count > F.size(hashes), F.lit(bit if bit < 1 << 63 else bit - (1 << 64)).cast("long")).otherwise(F.lit(0).cast("long")))
+        return out
 
-    out = bit(0)
-    for k in range(1, 64):
-        out = out.bitwiseOR(bit(k))
-    return out
+    return let(F.array(*[total(k) for k in range(width)]), bits)
+
+
+def fingerprint(hashes: Column) -> Column:
+    """64-bit SimHash: each bit is the majority of the hashes', repeats included."""
+    return F.when(F.size(hashes) < 1 << 16, _majority(hashes, 16)).otherwise(_majority(hashes, 32))
 
 
 def uneven(hashes: Column) -> Column:
@@ -113,10 +131,10 @@ def _tagged(k: int):
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """Distinct items long enough to search: item (smallest id), ids, n_words, hashes."""
-    cut = benchmark.select("item_id", normal_words(F.col("text")).alias("words")).where(F.size("words") >= WIDTH)
+    """Distinct items with a word: ids, n_words, hashes."""
+    cut = benchmark.select("item_id", normal_words(F.col("text")).alias("words")).where(F.size("words") > 0)
     return (
-        cut.groupBy("words").agg(F.min("item_id").alias("item"), F.array_sort(F.collect_list("item_id")).alias("ids"))
+        cut.groupBy("words").agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
         .select(F.xxhash64("words").alias("item_key"), "ids", F.size("words").alias("n_words"), shingles(F.col("words")).alias("hashes"))
     )
 
@@ -126,36 +144,51 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.hash("text", "doc_id"))
 
 
+def starts(matched: DataFrame, least: float) -> DataFrame:
+    """Where windows begin that may be similar enough: k1, k2, item_key, n, start, a best one of every pair included.
+
+    matched: k1, k2, item_key, n, size (shingles of the item and the document) and place of each shared shingle.
+    """
+    pair = ["k1", "k2", "item_key"]
+    same = [*pair, "n", "size"]
+    # a window [p, p + n) for each place p: its end comes before a place that it does not reach
+    events = matched.select(*same, F.col("place").alias("at"), F.lit(1).alias("point"), F.lit(None).cast("int").alias("start")).unionByName(
+        matched.select(*same, (F.col("place") + F.col("n")).alias("at"), F.lit(0).alias("point"), F.col("place").alias("start"))
+    )
+    order = Window.partitionBy(*pair).orderBy("at", "point")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # places before the window's end, and windows up to this one, whose places all lie before its end
+    counted = events.withColumn("reached", F.sum("point").over(so_far)).withColumn("which", F.sum(1 - F.col("point")).over(so_far))
+    before = F.max(F.when(F.col("point") == 0, F.col("reached"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    counted = counted.withColumn("before", before).where("point = 0 AND (before IS NULL OR reached > before)")
+    need = F.ceil(least / (1 + least) * (F.col("n") + F.least("n", "size")) - 1e-9)
+    enough = counted.where(F.col("reached") - F.col("which") + 1 >= need)
+    return enough.select(*pair, "n", F.greatest(F.lit(0), F.least(F.col("start"), F.col("size") - F.col("n"))).alias("start")).distinct()
+
+
 def find(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity, k1, k2: the best window of each pair."""
     bench = written(items(benchmark), "items")
-    parts = bench.select("item_key", "n_words", F.size("hashes").alias("n"), F.posexplode("hashes").alias("at", "h"))
-    parts = written(parts, "item-shingles")
-    total = parts.count()
+    parts = bench.select("item_key", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
     # rarest shingles first, by the number of items that hold them; ties by hash
     often = parts.groupBy("h").agg(F.countDistinct("item_key").alias("often"))
     ranked = parts.join(often, "h").groupBy("item_key", "n").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("all"))
     rare = ranked.select("item_key", F.explode(F.slice("all", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("r"))
-    rare = rare.select(F.col("r.h").alias("h"), "item_key").distinct()
+    rare = written(rare.select(F.col("r.h").alias("h"), "item_key").distinct(), "seeds")
+    parts = written(parts.distinct(), "item-shingles")
 
     keyed = _keyed(docs)
     scanned = keyed.select("k1", "k2", F.explode(shingles(normal_words(F.col("text")))).alias("h"))
-    pairs = written(scanned.join(sized(rare, total), "h").select("k1", "k2", "item_key").distinct(), "seeded")
+    pairs = written(scanned.join(sized(rare, rare.count()), "h").select("k1", "k2", "item_key").distinct(), "seeded")
 
     # only documents with a seed are read again and cut into words once more
     seeded = pairs.select("k1", "k2").distinct()
-    few = seeded.count()
-    suspects = keyed.join(sized(seeded, few), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    suspects = keyed.join(sized(seeded, seeded.count()), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     suspects = written(suspects.select("doc_id", "k1", "k2", shingles(normal_words(F.col("text"))).alias("hashes")), "suspects")
 
     places = suspects.select("k1", "k2", F.size("hashes").alias("size"), F.posexplode("hashes").alias("place", "h"))
-    placed = (
-        places.join(sized(parts, total), "h").join(pairs, ["k1", "k2", "item_key"])
-        # start of the window among the document's shingles, moved inside it
-        .select("k1", "k2", "item_key", "n", F.greatest(F.lit(0), F.least(F.col("place") - F.col("at"), F.col("size") - F.col("n"))).alias("start"))
-        .distinct()
-    )
-    placed = written(placed, "placed")
+    matched = places.join(sized(parts, parts.count()), "h").join(pairs, ["k1", "k2", "item_key"]).drop("h")
+    placed = written(starts(matched, least), "placed")
     aligned = placed.select("k1", "k2", "n", "start").distinct()
     windows = suspects.join(aligned, ["k1", "k2"]).select("doc_id", "k1", "k2", "start", "n", F.slice("hashes", F.col("start") + 1, F.col("n")).alias("window"))
     windows = written(windows.withColumn("w1", F.xxhash64("window")).withColumn("w2", F.hash("window")), "windows")
@@ -178,21 +211,26 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame
         .withColumn("similarity", similarity(F.col("window"), F.col("hashes"))).where(F.col("similarity") >= least)
         .select("w1", "w2", "ids", "n_words", "similarity")
     )
+    same = written(same, "same")
     best = (
-        windows.select("doc_id", "k1", "k2", "start", "w1", "w2").join(written(same, "same"), ["w1", "w2"])
+        windows.select("doc_id", "k1", "k2", "start", "w1", "w2").join(same, ["w1", "w2"])
         .select("doc_id", "k1", "k2", F.explode("ids").alias("item_id"), "n_words", "similarity", "start")
         .groupBy("doc_id", "k1", "k2", "item_id", "n_words")
         .agg(F.max(F.struct("similarity", -F.col("start"))).alias("b"))
     )
-    return best.select("doc_id", "item_id", (-F.col("b.col2")).alias("start_word"), "n_words", F.col("b.similarity").alias("similarity"), "k1", "k2")
+    best = best.select("doc_id", "item_id", (-F.col("b.col2")).alias("start_word"), "n_words", F.col("b.similarity").alias("similarity"), "k1", "k2")
+    best = written(best, "matches")
+    dropped(bench, parts, rare, pairs, suspects, placed, windows, same)
+    return best
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """docs, same columns, less every row whose text holds an item."""
-    found = written(find(docs, benchmark, least).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct(), "leaks")
-    few = found.count()
-    k1, k2 = F.xxhash64(docs["doc_id"], docs["text"]), F.hash(docs["text"], docs["doc_id"])
-    return docs.join(sized(found, few), (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")
+    matches = find(docs, benchmark, least)
+    found = written(matches.select("k1", "k2").distinct(), "leaks")
+    dropped(matches)
+    keys = F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2")
+    return docs.select(packed(docs), *keys).join(sized(found, found.count()), ["k1", "k2"], "left_anti").select("row.*")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
