@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,29 +37,30 @@ def value(node: Leaf | Split, x: tuple[int, ...]) -> float:
     return node.value
 
 
-def _grow(rows: list[tuple[tuple[int, ...], float, float]], depth: int, rate: float, l2: float) -> Leaf | Split:
-    """rows: features, gradient, hessian."""
-    g, h = sum(r[1] for r in rows), sum(r[2] for r in rows)
+def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float, l2: float) -> Leaf | Split:
+    """x: a row of features for each vector; g, h: gradients and hessians."""
+    gs, hs = g.sum(), h.sum()
     best, choice = 1e-6, None
-    if depth and len(rows) > 1:
-        for f in range(len(rows[0][0])):
-            sums: dict[int, list[float]] = {}
-            for x, gi, hi in rows:
-                s = sums.setdefault(x[f], [0.0, 0.0])
-                s[0] += gi
-                s[1] += hi
-            gl = hl = 0.0
-            for at in sorted(sums)[:-1]:
-                gl, hl = gl + sums[at][0], hl + sums[at][1]
-                if min(hl, h - hl) < 0.5:
-                    continue
-                gain = gl * gl / (hl + l2) + (g - gl) ** 2 / (h - hl + l2) - g * g / (h + l2)
-                if gain > best:
-                    best, choice = gain, (f, at)
+    for f in range(x.shape[1] if depth and len(x) > 1 else 0):
+        # sums by value of the feature, then over all values up to it
+        gl, hl = np.cumsum(np.bincount(x[:, f], g)), np.cumsum(np.bincount(x[:, f], h))
+        gr, hr = gs - gl, hs - hl
+        gain = gl * gl / (hl + l2) + gr * gr / (hr + l2) - gs * gs / (hs + l2)
+        gain[np.minimum(hl, hr) < 0.5] = 0
+        at = int(np.argmax(gain))
+        if gain[at] > best:
+            best, choice = gain[at], (f, at)
     if choice is None:
-        return Leaf(-rate * g / (h + l2))
+        return Leaf(float(-rate * gs / (hs + l2)))
     f, at = choice
-    return Split(f, at, *(_grow([r for r in rows if (r[0][f] <= at) == side], depth - 1, rate, l2) for side in (True, False)))
+    left = x[:, f] <= at
+    return Split(f, at, *(_grow(x[k], g[k], h[k], depth - 1, rate, l2) for k in (left, ~left)))
+
+
+def _values(node: Leaf | Split, x: np.ndarray) -> np.ndarray:
+    if isinstance(node, Leaf):
+        return np.full(len(x), node.value)
+    return np.where(x[:, node.feature] <= node.at, _values(node.left, x), _values(node.right, x))
 
 
 @dataclass
@@ -84,23 +86,27 @@ class Boosted:
         return 1 / (1 + F.exp(-odds))
 
 
-def fit(rows: list[Row], precision: float, trees: int = 20, depth: int = 3, rate: float = 0.4, l2: float = 1.0) -> Boosted:
+def fit(rows: list[Row], precision: float, held: list[Row] | None = None, trees: int = 20, depth: int = 3, rate: float = 0.4, l2: float = 1.0) -> Boosted:
     """Newton boosting on the logistic loss, then the least threshold that keeps ``precision``.
 
-    The precision of a threshold is a lower bound (one standard error) over the counts at or
-    above it.  Without any row, or if no threshold will do, nothing is ever selected.
+    The precision of a threshold is a lower bound (one standard error) over the counts of ``held``, rows that
+    the trees have not seen (of rows themselves if there are none), at or above it.  Without
+    any row, or if no threshold will do, nothing is ever selected.
     """
-    rows = sorted(rows)
-    pos, neg = sum(r[1] for r in rows), sum(r[2] for r in rows)
-    base = math.log((pos + 0.5) / (neg + 0.5))
-    odds, grown = [base] * len(rows), []
-    for _ in range(trees if pos and neg else 0):
-        p = [1 / (1 + math.exp(-max(-30, min(30, o)))) for o in odds]
-        tree = _grow([(r[0], (r[1] + r[2]) * q - r[1], (r[1] + r[2]) * q * (1 - q)) for r, q in zip(rows, p)], depth, rate, l2)
-        grown.append(tree)
-        odds = [o + value(tree, r[0]) for o, r in zip(odds, rows)]
+    rows = sorted(r for r in rows if r[1] or r[2])
+    if not any(r[1] for r in rows):
+        return Boosted(0.0, [], 2.0)
+    x = np.array([r[0] for r in rows], np.int64).reshape(len(rows), -1)
+    pos, neg = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
+    base = math.log((pos.sum() + 0.5) / (neg.sum() + 0.5))
+    odds, grown = np.full(len(rows), base), []
+    for _ in range(trees if neg.any() else 0):
+        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        n = pos + neg
+        grown.append(_grow(x, n * p - pos, n * p * (1 - p), depth, rate, l2))
+        odds = odds + _values(grown[-1], x)
     model = Boosted(base, grown, 2.0)
-    scored = sorted(((model.probability(r[0]), r[1], r[2]) for r in rows), reverse=True)
+    scored = sorted(((model.probability(r[0]), r[1], r[2]) for r in (rows if held is None else held) if r[1] or r[2]), reverse=True)
     a = b = 0.0
     for k, (q, up, down) in enumerate(scored):
         a, b = a + up, b + down

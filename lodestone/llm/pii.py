@@ -4,18 +4,24 @@ All steps are Spark expressions.  A pattern's matches are marked in a copy of th
 split at the marks; running lengths give the places, in code points.
 
 Base spans (email, ip, card, phone) are exact patterns with checks and always stay.  Generators
-propose further, overlapping spans: written-out addresses, numbers without a plus sign, dotted
+propose further, overlapping spans: written-out addresses, numbers without a plus sign, cards with dots, dotted
 and colon-separated addresses, long keys.  For each kind, boosted trees score a candidate by
-format (digits, groups, separators, lengths) and context (the words before).  They learn from all
-candidates of all documents, aggregated to counts by feature vector: a candidate that holds a
-valid base span of its kind is positive, any other one is negative, and what decides validity
-(checksum, plus sign, ranges) is not a feature.  Keys, which have no base pattern, are positive
-if a word such as token or password and an equals sign or colon stand before them, and are
-scored by format alone.  A candidate is added if its probability reaches the kind's
-threshold, it meets no base span and no better candidate.
+format (digits, groups, separators, last length, a check of its own) and context (the words before).
+
+Labels.  They learn from all candidates of all documents, aggregated to counts by feature vector.  A candidate that
+meets a valid base span of its kind is positive, and so is one that is written out or named by its
+context: an address with [at] or (at) and a dotted name, a number behind a word such as call, a card number with a
+right sum behind a word such as visa.  Negative are those that fail the check of their kind, that meet a
+base span of another kind, or that the context names otherwise (order, version, page).  The rest is unlabelled, has no
+part in learning, and is scored like all others.  Keys have no base pattern: they are positive if a
+word such as token or password and an equals sign or colon stand before them, negative else, and scored by format alone.
+
+Thresholds.  Trees grow on three quarters of the texts, by hash; the threshold of a kind is the least whose precision on the
+labels of the rest is ``precision`` or more.  A candidate is added if its probability reaches it and it meets
+no base span; of added ones that overlap, going from left to right, the better one stays.
 
 The text is scanned once; what is found goes to a table in the shared folder, from which
-both the counts and the result are read.
+both the counts and the result are read.  Work on a text grows with its length and its spans, not with their square.
 
 Defined results: null and empty texts have no spans; null doc_ids and repeated rows are treated
 like any others; a corpus without candidates adds no spans.
@@ -27,11 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import written
+from .common import let, packed, written
 
 KINDS = ("email", "ip", "card", "phone", "secret")  # the order of kinds among spans
 BASE = KINDS[:4]
-FEATURES = ("digits", "groups", "sep", "first", "last", "ctx")
+#: Feature -> how many values it has.  The driver gets as many counts as there are vectors at most, some 53,000 a kind.
+FEATURES = {"digits": 21, "groups": 6, "sep": 6, "last": 5, "ctx": 7, "good": 2}
+HELD = 4  # one part in so many sets the thresholds
+RUN = 256  # elements that a loop over an array gathers before it sets them aside
+CUT = 4096  # characters of a piece of a text that is rewritten
 _OPEN, _CLOSE = "\x01", "\x02"
 
 # Base patterns.  Possessive loops where nothing that follows could use what they give back, and
@@ -87,8 +97,36 @@ def _clean(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), _OPEN + _CLOSE, "\x03\x03")
 
 
-def _none() -> Column:
-    return F.expr("CAST(array() AS array<struct<start:int,end:int,body:string,before:string>>)")
+SPAN = "struct<start:int,kind:int,end:int>"
+MATCH = "struct<start:int,end:int,body:string,before:string>"
+
+
+def empty(kind: str) -> Column:
+    return F.expr(f"CAST(array() AS array<{kind}>)")
+
+
+def loop(items: Column, state: Column, kind: str, step, finish=None) -> Column:
+    """What a loop over an array gives out: step(state, item) returns the next state and an array of ``kind``.
+
+    An array grows by being copied, so what is given out is gathered in runs of RUN elements.  finish(state)
+    gives out the last of it.
+    """
+    start = F.struct(state.alias("state"), empty(kind).alias("run"), empty(f"array<{kind}>").alias("done"))
+
+    def one(acc: Column, item: Column) -> Column:
+        after, out = step(acc["state"], item)
+        full = F.size(acc["run"]) >= RUN
+        return F.struct(
+            after.alias("state"),
+            F.when(full, out).otherwise(F.concat(acc["run"], out)).alias("run"),
+            F.when(full, F.concat(acc["done"], F.array(acc["run"]))).otherwise(acc["done"]).alias("done"),
+        )
+
+    def all_of(acc: Column) -> Column:
+        last = [finish(acc["state"])] if finish else []
+        return F.concat(F.flatten(acc["done"]), acc["run"], *last)
+
+    return F.aggregate(items, start, one, all_of)
 
 
 def find(text: Column, pattern: str, needs: tuple[str, ...] = ()) -> Column:
@@ -97,23 +135,18 @@ def find(text: Column, pattern: str, needs: tuple[str, ...] = ()) -> Column:
     Places are code points; ``before`` holds up to 24 characters in front.
     """
     parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{_OPEN}$0{_CLOSE}")), f"[{_OPEN}{_CLOSE}]", -1)
-    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("inside"), F.lit("").alias("before"), _none().alias("found"))
+    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("inside"), F.lit("").alias("before"))
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["pos"] + F.length(part)
-        one = F.array(F.struct(acc["pos"].alias("start"), end.alias("end"), part.alias("body"), acc["before"].alias("before")))
-        return F.struct(
-            end.alias("pos"),
-            (~acc["inside"]).alias("inside"),
-            F.when(acc["inside"], F.lit("")).otherwise(F.right(part, F.lit(24))).alias("before"),
-            F.when(acc["inside"], F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"),
-        )
+    def step(at: Column, part: Column) -> tuple[Column, Column]:
+        end = at["pos"] + F.length(part)
+        one = F.array(F.struct(at["pos"].alias("start"), end.alias("end"), part.alias("body"), at["before"].alias("before")))
+        after = F.struct(end.alias("pos"), (~at["inside"]).alias("inside"), F.when(at["inside"], F.lit("")).otherwise(F.right(part, F.lit(24))).alias("before"))
+        return after, F.when(at["inside"], one).otherwise(empty(MATCH))
 
-    found = F.aggregate(parts, start, step, lambda acc: acc["found"])
     test = F.lit(True)
     for p in needs or (pattern,):
         test = test & text.rlike(p)
-    return F.when(test, found).otherwise(_none())
+    return F.when(test, loop(parts, start, MATCH, step)).otherwise(empty(MATCH))
 
 
 def luhn(digits: Column) -> Column:
@@ -132,17 +165,18 @@ def _digits(body: Column) -> Column:
     return F.regexp_replace(body, "[^0-9]", "")
 
 
+def _part_ok(part: Column) -> Column:
+    """At most 255, however many zeros or digits there are."""
+    short = F.regexp_replace(part, "^0+(?=[0-9])", "")
+    return (F.length(short) <= 3) & (F.left(short, F.lit(3)).try_cast("int") <= 255)
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     """Valid matches of each base pattern in a cleaned text."""
     n = lambda m: F.length(_digits(m["body"]))
-    def part_ok(p: Column) -> Column:
-        """At most 255, however many zeros or digits there are."""
-        short = F.regexp_replace(p, "^0+(?=[0-9])", "")
-        return (F.length(short) <= 3) & (F.left(short, F.lit(3)).cast("int") <= 255)
-
     return {
         "email": find(text, _EMAIL, ("@",)),
-        "ip": F.filter(find(text, _IP, _IP_NEEDS), lambda m: F.forall(F.split(m["body"], r"\."), part_ok)),
+        "ip": F.filter(find(text, _IP, _IP_NEEDS), lambda m: F.forall(F.split(m["body"], r"\."), _part_ok)),
         "card": F.filter(find(text, _CARD, _CARD_NEEDS), lambda m: n(m).between(12, 19) & luhn(_digits(m["body"]))),
         "phone": F.filter(find(text, _PHONE, (r"\+[0-9]",)), lambda m: n(m).between(9, 15)),
     }
@@ -155,93 +189,161 @@ def _context(before: Column) -> Column:
     return out
 
 
-def _features(kind: str, m: Column, base: Column) -> Column:
-    """A candidate with its features and whether it is a positive example."""
-    body = m["body"]
+#: Of a candidate: its place among all, kind, bounds, features, what its form and context say (1, 0 or nothing).
+CANDIDATE = "struct<i:int,kind:int,start:int,end:int," + ",".join(f"{f}:int" for f in FEATURES) + ",named:int>"
+JUDGED = CANDIDATE[:-1] + ",label:int,meets:boolean>"
+
+
+def _features(kind: str, m: Column) -> Column:
+    """A candidate with its features and what its form and context say."""
+    raw = m["body"]
+    body = raw
     if kind == "email":
-        body = F.regexp_replace(F.regexp_replace(F.lower(body), _AT, "@"), _DOT, ".")
-    if kind == "phone":  # a plus sign decides validity, so it and the country code are left out
-        body = F.regexp_replace(body, r"^\+[0-9]{1,3}[\x20.-]?", "")
+        body = F.regexp_replace(F.regexp_replace(F.lower(raw), _AT, "@"), _DOT, ".")
+    if kind == "phone":  # a plus sign decides base spans, so it and the country code are left out
+        body = F.regexp_replace(raw, r"^\+[0-9]{1,3}[\x20.-]?", "")
     groups = F.filter(F.split(body, "[^A-Za-z0-9]+", -1), lambda g: g != "")
+    n = F.length(_digits(raw))
+    context = _context(m["before"])
     sep = (
         F.when(body.rlike("[(]"), F.lit(5)).when(body.rlike("@"), F.lit(4)).when(body.rlike("[.:]"), F.lit(3)).when(body.rlike("-"), F.lit(2)).when(body.rlike(" "), F.lit(1)).otherwise(F.lit(0))
     )
-    context = _context(m["before"])
-    if kind == "secret":
-        label = (context == 5) & m["before"].rlike("[=:][^A-Za-z0-9]{0,3}$")
-        context = F.lit(0)
+    yes, no, open_ = F.lit(1), F.lit(0), F.lit(None).cast("int")
+    other = context == 6
+    if kind == "email":
+        bare, bracket = raw.rlike(r"(?i)\x20at\x20(?![)\]])"), raw.rlike(r"(?i)[(\[]\x20?at")
+        sep = F.when(bracket, F.lit(5)).when(bare, F.lit(1)).otherwise(F.lit(4))
+        good = body.rlike(r"^[^@]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}$")
+        named = F.when(~good | other, no).when(bracket | (context == 4) | (bare & raw.rlike(r"(?i)\x20dot\x20")), yes).when(bare, no).otherwise(open_)
+    elif kind == "ip":
+        dotted = raw.rlike(r"^[0-9]+(?:\.[0-9]+){3}$") & F.forall(F.split(raw, r"\."), _part_ok)
+        good = dotted | raw.rlike("(?i)^(?=.*[a-f]).*:")
+        named = F.when(~good | other, no).when((context == 3) | raw.rlike(":"), yes).otherwise(open_)
+    elif kind == "card":
+        good = n.between(12, 19) & luhn(_digits(raw))
+        named = F.when(~good | other, no).when(context == 2, yes).otherwise(open_)
+    elif kind == "phone":
+        date = raw.rlike(r"^(?:[0-9]{4}[./-][0-9]{2}[./-][0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-](?:[0-9]{2}){1,2})$")
+        good = n.between(7, 15) & ~date
+        named = F.when(~good | context.isin(2, 6), no).when(context == 1, yes).when(~raw.startswith("+") & (F.size(groups) == 1), no).otherwise(open_)
     else:
-        label = F.exists(base, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"]))
+        good = F.length(F.regexp_replace(raw, "[^A-Za-z]", "")).between(4, 1 << 30) & (n >= 4)
+        named = F.when((context == 5) & m["before"].rlike("[=:][^A-Za-z0-9]{0,3}$"), yes).otherwise(no)
+        context = F.lit(0)
     return F.struct(
+        F.lit(0).alias("i"),
         F.lit(KINDS.index(kind)).alias("kind"),
         m["start"].alias("start"),
         m["end"].alias("end"),
-        F.least(F.length(_digits(body)), F.lit(24)).alias("digits"),
-        F.least(F.size(groups), F.lit(6)).alias("groups"),
+        F.least(n if kind != "phone" else F.length(_digits(body)), F.lit(20)).alias("digits"),
+        F.least(F.size(groups), F.lit(5)).alias("groups"),
         sep.alias("sep"),
-        F.least(F.length(F.coalesce(F.try_element_at(groups, F.lit(1)), F.lit(""))), F.lit(10)).alias("first"),
-        F.least(F.length(F.coalesce(F.try_element_at(groups, F.lit(-1)), F.lit(""))), F.lit(10)).alias("last"),
+        F.least(F.length(F.coalesce(F.try_element_at(groups, F.lit(-1)), F.lit(""))), F.lit(4)).alias("last"),
         context.alias("ctx"),
-        label.alias("label"),
+        good.cast("int").alias("good"),
+        named.alias("named"),
     )
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with ``__base`` (array of start, kind, end) and ``__candidates``; one pass over the text."""
+def _judged(candidates: Column, base: Column) -> Column:
+    """Candidates with their label and whether they meet a base span, in their order.
+
+    Base spans go by their start and candidates by their end, in one order: what began before a
+    candidate's end meets it if the furthest end of these lies behind the candidate's start.
+    """
+    nothing = F.lit(None).cast(CANDIDATE)
+    events = F.array_sort(
+        F.concat(
+            F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("open"), b["kind"].alias("kind"), b["end"].alias("far"), nothing.alias("c"))),
+            F.transform(candidates, lambda c, i: F.struct(c["end"].alias("at"), F.lit(0).alias("open"), F.lit(0).alias("kind"), F.lit(0).alias("far"), c.withField("i", i).alias("c"))),
+        )
+    )
+    far = F.struct(*[F.lit(-1).alias(k) for k in BASE])
+
+    def step(state: Column, e: Column) -> tuple[Column, Column]:
+        after = F.struct(*[F.when((e["open"] == 1) & (e["kind"] == k), F.greatest(state[name], e["far"])).otherwise(state[name]).alias(name) for k, name in enumerate(BASE)])
+        c = e["c"]
+        own = F.lit(False)
+        for k, name in reversed(list(enumerate(BASE))):
+            own = F.when(c["kind"] == k, state[name] > c["start"]).otherwise(own)
+        meets = F.greatest(*[state[name] for name in BASE]) > c["start"]
+        label = F.when(own, 1).when(meets, 0).otherwise(c["named"])
+        names = ["i", "kind", "start", "end", *FEATURES, "named"]
+        out = F.array(F.struct(*[c[n].alias(n) for n in names], label.alias("label"), meets.alias("meets")))
+        return after, F.when(e["open"] == 0, out).otherwise(empty(JUDGED))
+
+    return F.when(F.size(candidates) > 0, F.array_sort(loop(events, far, JUDGED, step))).otherwise(empty(JUDGED))
+
+
+def scan(docs: DataFrame, text: str = "text", keep: bool = True) -> DataFrame:
+    """row (all columns of docs, without the text unless keep), base (array of start, kind, end) and candidates; one
+    pass over the text."""
     # the cleaned text and the base spans are columns of their own, so they are computed once
-    found = docs.withColumn("__clean", _clean(F.col(text)))
-    found = found.select("*", *[c.alias(f"__{k}") for k, c in base_spans(F.col("__clean")).items()])
+    found = docs.select(packed(docs, *([] if keep else [text])), _clean(F.col(text)).alias("clean"), F.pmod(F.xxhash64(text), F.lit(HELD)).alias("part"))
+    found = found.select("*", *[c.alias(k) for k, c in base_spans(F.col("clean")).items()])
 
     def proposed(name: str) -> Column:
-        kind = name.split("_")[0]
-        base = F.col(f"__{kind}") if kind in BASE else _none()
-        return F.transform(find(F.col("__clean"), GENERATORS[name], _NEEDS[name]), lambda m: _features(kind, m, base))
+        return F.transform(find(F.col("clean"), GENERATORS[name], _NEEDS[name]), lambda m: _features(name.split("_")[0], m))
 
     def placed(kind: str) -> Column:
         which = F.lit(KINDS.index(kind)).alias("kind")
-        return F.transform(F.col(f"__{kind}"), lambda m: F.struct(m["start"].alias("start"), which, m["end"].alias("end")))
+        return F.transform(F.col(kind), lambda m: F.struct(m["start"].alias("start"), which, m["end"].alias("end")))
 
-    base = F.array_sort(F.concat(*map(placed, BASE)))
-    out = found.withColumn("__candidates", F.concat(*map(proposed, GENERATORS))).withColumn("__base", base)
-    return out.drop("__clean", *[f"__{k}" for k in BASE])
+    found = found.select("row", "part", F.array_sort(F.concat(*map(placed, BASE))).alias("base"), F.concat(*map(proposed, GENERATORS)).alias("proposed"))
+    return found.select("row", "part", "base", _judged(F.col("proposed"), F.col("base")).alias("candidates"))
 
 
 def train(scanned: DataFrame, precision: float = 0.9) -> dict[str, boosting.Boosted]:
-    """Trees for each kind from all candidates, as counts by feature vector."""
-    counts = (
-        scanned.select(F.explode("__candidates").alias("c"))
-        .groupBy("c.kind", *[f"c.{f}" for f in FEATURES])
-        .agg(F.sum(F.col("c.label").cast("long")).alias("pos"), F.sum((~F.col("c.label")).cast("long")).alias("neg"))
-    )
-    rows: dict[str, list[boosting.Row]] = {k: [] for k in KINDS}
+    """Trees and threshold for each kind from all labelled candidates, as counts by feature vector."""
+    key = F.lit(0).cast("long")
+    for f, n in {"kind": len(KINDS), **FEATURES}.items():
+        key = key * n + F.col(f"c.{f}")
+    held = F.col("part") == 0
+    sums = [F.count_if((F.col("c.label") == y) & (held if h else ~held)) for h in (False, True) for y in (1, 0)]
+    labelled = scanned.select("part", F.explode("candidates").alias("c")).where("c.label IS NOT NULL")
+    counts = labelled.groupBy(key.alias("key")).agg(*[c.alias(f"n{i}") for i, c in enumerate(sums)])
+    seen: dict[str, list[boosting.Row]] = {k: [] for k in KINDS}
+    kept: dict[str, list[boosting.Row]] = {k: [] for k in KINDS}
     # bounded by the ranges of the features, whatever the corpus
-    for r in counts.collect():
-        rows[KINDS[r["kind"]]].append((tuple(r[f] for f in FEATURES), float(r["pos"]), float(r["neg"])))
-    return {k: boosting.fit(v, precision) for k, v in rows.items()}
+    for k, *n in counts.collect():
+        vector = []
+        for size in reversed(FEATURES.values()):
+            vector.append(k % size)
+            k //= size
+        x = tuple(reversed(vector))
+        seen[KINDS[k]].append((x, float(n[0]), float(n[1])))
+        kept[KINDS[k]].append((x, float(n[2]), float(n[3])))
+    return {k: boosting.fit(seen[k], precision, kept[k]) for k in KINDS}
 
 
 def select(scanned: DataFrame, models: dict[str, boosting.Boosted]) -> DataFrame:
-    """scanned with ``__spans``: base spans and selected candidates as (start, kind, end), in order."""
+    """scanned with ``spans``: base spans and selected candidates as (start, kind, end), in order."""
+    scored = "struct<start:int,end:int,p:double,kind:int>"
 
-    def scored(c: Column) -> Column:
+    def with_p(c: Column) -> Column:
         features = [c[f] for f in FEATURES]
-        margin = F.lit(-1.0)
+        p = F.lit(-1.0)
         for k, name in enumerate(KINDS):
             if models[name].threshold <= 1:
-                p = models[name].column(features)
-                margin = F.when(c["kind"] == k, F.when(p >= models[name].threshold - 1e-9, p).otherwise(-1.0)).otherwise(margin)
-        return F.struct(margin.alias("p"), c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
+                q = models[name].column(features)
+                p = F.when(c["kind"] == k, let(q, lambda v, t=models[name].threshold: F.when(v >= t - 1e-9, v).otherwise(-1.0))).otherwise(p)
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), p.alias("p"), c["kind"].alias("kind"))
 
-    meets = lambda a, b: (a["start"] < b["end"]) & (a["end"] > b["start"])
-    likely = scanned.withColumn("__likely", F.filter(F.transform("__candidates", scored), lambda c: c["p"] > 0))
-    free = likely.withColumn("__free", F.filter("__likely", lambda c: ~F.exists("__base", lambda b: meets(c, b))))
+    likely = F.filter(F.transform(F.filter("candidates", lambda c: ~c["meets"]), with_p), lambda c: c["p"] > 0)
 
-    def better(d: Column, c: Column) -> Column:
-        return (d["p"] > c["p"]) | ((d["p"] == c["p"]) & ((d["start"] < c["start"]) | ((d["start"] == c["start"]) & ((d["end"] > c["end"]) | ((d["end"] == c["end"]) & (d["kind"] < c["kind"]))))))
+    def span(c: Column) -> Column:
+        return F.array(F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
 
-    best = F.filter("__free", lambda c: ~F.exists("__free", lambda d: meets(c, d) & better(d, c)))
-    plain = F.transform(best, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-    return free.withColumn("__spans", F.array_sort(F.concat("__base", plain))).drop("__likely", "__free", "__candidates")
+    def step(last: Column, c: Column) -> tuple[Column, Column]:
+        """The last one goes out if the next begins behind it; else the likelier stays, the longer of two alike, or the first."""
+        free = c["start"] >= last["end"]
+        better = (c["p"] > last["p"]) | ((c["p"] == last["p"]) & (c["end"] - c["start"] > last["end"] - last["start"]))
+        return F.when(free | better, c).otherwise(last), F.when(free & (last["p"] > 0), span(last)).otherwise(empty(SPAN))
+
+    nothing = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(-1.0).alias("p"), F.lit(0).alias("kind")).cast(scored)
+    best = loop(F.array_sort("likely"), nothing, SPAN, step, lambda last: F.when(last["p"] > 0, span(last)).otherwise(empty(SPAN)))
+    out = scanned.select("row", "base", likely.alias("likely"))
+    return out.select("row", "base", F.when(F.size("likely") > 0, F.array_sort(F.concat("base", best))).otherwise(F.col("base")).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -251,31 +353,39 @@ def joined(spans: Column) -> Column:
 
 
 def detect(docs: DataFrame, text: str = "text", precision: float = 0.9) -> DataFrame:
-    """docs without the text, with ``__base`` and ``__spans``."""
-    scanned = written(scan(docs, text).drop(text), "pii")
+    """row (the columns of docs without the text), base and spans."""
+    scanned = written(scan(docs, text, keep=False), "pii")
     return select(scanned, train(scanned, precision))
 
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span, or run of overlapping ones, replaced by its first kind in brackets."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.element_at(names, s["kind"] + 1))
-        return F.when(s["start"] >= acc["pos"], F.struct(s["end"].alias("pos"), piece.alias("out"))).otherwise(
-            F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out"))
-        )
+    def cut(blocks: Column, a: Column, b: Column) -> Column:
+        """Characters a to b of the text, as an array of the parts of its blocks."""
+        first, last = F.call_function("div", a, F.lit(CUT)).cast("int"), F.call_function("div", b - 1, F.lit(CUT)).cast("int")
+        one = F.array(F.substring(F.get(blocks, first), a % CUT + 1, b - a))
+        ends = F.array(F.substring(F.get(blocks, first), a % CUT + 1, F.lit(CUT))), F.array(F.substring(F.get(blocks, last), F.lit(1), b - last * CUT))
+        more = F.concat(ends[0], F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ends[1])
+        return F.when(b <= a, empty("string")).when(first == last, one).otherwise(more)
+
+    def done(blocks: Column) -> Column:
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            out = F.concat(cut(blocks, at, s["start"]), F.array(F.element_at(names, s["kind"] + 1)))
+            return F.greatest(at, s["end"]), F.when(s["start"] >= at, out).otherwise(empty("string"))
+
+        return F.array_join(loop(spans, F.lit(0), "string", step, lambda at: cut(blocks, at, F.length(text))), "")
 
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return F.when(F.size(spans) > 0, let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)), done)).otherwise(text)
 
 
 def redact(docs: DataFrame, text: str = "text", precision: float = 0.9) -> DataFrame:
     """docs, same columns and rows, with personal data in the text replaced; null texts stay null."""
     scanned = written(scan(docs, text), "pii")
     found = select(scanned, train(scanned, precision))
-    return found.withColumn(text, redacted(F.col(text), F.col("__spans"))).select(*docs.columns)
+    shown = redacted(F.col("row")[text], F.col("spans"))
+    return found.select(*[shown.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -284,6 +394,6 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     def count(kind: str) -> Column:
         which = BASE.index(kind)
-        return F.size(F.filter("__base", lambda s: s["kind"] == which)).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter("base", lambda s: s["kind"] == which)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, BASE), F.sha2(joined(F.col("__base")), 256).alias("base_sha256"), joined(F.col("__spans")).alias("spans"))
+    return found.select("row.doc_id", *map(count, BASE), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
