@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def _star(links: DataFrame, larger_only: bool) -> DataFrame:
@@ -49,7 +49,8 @@ def components(links: DataFrame, name: str = "components", rounds: int = 60) ->
         if not before[0]:
             break
         large = _star(state, True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        state = written(_star(large, False), name)
+        old, state = state, written(_star(large, False), name)
+        dropped(old)
         after = sign(state)
         if after == before:
             break

@@ -5,15 +5,16 @@
 3. A fingerprint becomes a point: the number of set bits in each of its 2-bit segments.  A
    differing bit moves one coordinate by at most 1, so the Manhattan distance of two points is a
    lower bound of the Hamming distance.
-4. Grid range-join.  The segments form BLOCKS blocks.  Points within Manhattan distance
-   ``radius`` agree in all but ``radius`` blocks at most, so they share at least one cell of
-   the grids that BLOCKS - radius blocks span.  Every point goes to its cell in each of these grids;
+4. Grid range-join.  The segments form some blocks, more of them the more points there are (see blocks_for).  Points
+   within Manhattan distance ``radius`` agree in all but ``radius`` blocks at most, so they share at least one cell of
+   the grids that all but ``radius`` blocks span.  Every point goes to its cell in each of these grids;
    pairs that meet are held to the Manhattan bound, then to the exact Hamming distance.  A pair is
    reported in the first grid where it meets only.  Points that differ in no coordinate meet in
    all grids and are exact-checked alike, so no link is lost.
 5. Links between fingerprints give components, and these the smallest doc_id of each.
 
-The join is on (grid, cell), with some 2^-22 of all other points in a cell; a cell crowded by
+The join is on (grid, cell).  Two points unrelated to each other share a cell with a probability that falls with the
+number of blocks, so their number in a cell stays about the same at any size; a cell crowded by
 near copies can be split by Spark's skew handling, since only its join needs its rows together.
 
 Defined results: null and empty texts have fingerprint zero and link like others; documents with
@@ -26,6 +27,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, written
+from .common import dropped, packed, sized, written
 from .components import components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -42,7 +44,7 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 SEED = 42
 SEGMENT = 2
-BLOCKS = 6
+BLOCKS = range(6, 17)
 PART = 1 << 16  # shingles hashed at a time, so that one long text needs no long list
 
 
@@ -100,40 +102,46 @@ def manhattan(a: str, b: str) -> Column:
     return F.expr(f"bit_count({odd}) + 2 * bit_count({even} & ~{odd})")
 
 
-def block_masks(blocks: int = BLOCKS) -> list[int]:
+def blocks_for(points: int, radius: int = 3) -> int:
+    """The number of blocks for which copies of points and meetings by chance are fewest together.
+
+    A point has a copy for each grid.  Segments of two even bits agree by chance three times in eight.
+    """
+    def cost(blocks: int) -> float:
+        agreeing = 64 / SEGMENT * (blocks - radius) / blocks
+        return comb(blocks, radius) * (1 + points * 0.375**agreeing)
+
+    return min((b for b in BLOCKS if b > radius), key=cost, default=radius + 1)
+
+
+def block_masks(blocks: int) -> list[int]:
     """For each block a 64-bit mask of its segments, as a signed number."""
     cuts = np.linspace(0, 64 // SEGMENT, blocks + 1).round().astype(int) * SEGMENT
     masks = [sum(1 << b for b in range(a, e)) for a, e in zip(cuts[:-1], cuts[1:])]
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def links(points: DataFrame, radius: int = 3) -> DataFrame:
+def links(points: DataFrame, radius: int = 3, blocks: int = BLOCKS[0]) -> DataFrame:
     """(u, v) with u < v for all pairs of distinct fingerprints ``fp`` within ``radius`` bits."""
-    masks = block_masks()
-    keep = BLOCKS - radius
-    if keep < 1:
-        raise ValueError(f"radius {radius} needs more than {BLOCKS} blocks")
-    grids = list(combinations(range(BLOCKS), keep))
-    union = [sum(masks[b] & ((1 << 64) - 1) for b in g) for g in grids]
-    union = [m - (1 << 64) if m >= 1 << 63 else m for m in union]
+    if not radius < blocks <= 64 // SEGMENT:
+        raise ValueError(f"radius {radius} needs more than {radius} and at most {64 // SEGMENT} blocks")
+    masks = block_masks(blocks)
+    grids = []  # blocks as bits, and the bits of these blocks' segments
+    for g in combinations(range(blocks), blocks - radius):
+        mask = sum(masks[b] & ((1 << 64) - 1) for b in g)
+        grids.append((sum(1 << b for b in g), mask - (1 << 64) if mask >= 1 << 63 else mask))
     embedded = points.select("fp", segment_counts(F.col("fp")).alias("point"))
-    cells = embedded.select(
-        "fp",
-        "point",
-        F.posexplode(F.array(*[F.col("point").bitwiseAND(F.lit(m).cast("long")) for m in union])).alias("grid", "cell"),
-    )
+    each = F.array(*[F.struct(F.lit(bits).alias("grid"), F.lit((1 << bits.bit_length()) - 1).alias("up_to"), F.col("point").bitwiseAND(F.lit(m).cast("long")).alias("cell")) for bits, m in grids])
+    cells = embedded.select("fp", "point", F.inline(each))
     a, b = cells.alias("a"), cells.alias("b")
-    # blocks in which the two points agree, as bits; the pair belongs to the first grid among them
-    agree = F.expr("+".join(f"CASE WHEN ((a.point ^ b.point) & {m}L) = 0 THEN {1 << i} ELSE 0 END" for i, m in enumerate(masks)))
-    first = F.lit(None).cast("int")
-    for k, g in reversed(list(enumerate(grids))):
-        bits = sum(1 << i for i in g)
-        first = F.when(agree.bitwiseAND(F.lit(bits)) == bits, F.lit(k)).otherwise(first)
+    # blocks in which the two points agree, as bits; the pair belongs to the grid of the first ones among them, which
+    # is the one whose blocks are all the agreeing ones up to its last
+    agree = "(" + "+".join(f"CASE WHEN ((a.point ^ b.point) & {m}L) = 0 THEN {1 << i} ELSE 0 END" for i, m in enumerate(masks)) + ")"
     near = manhattan("a.point", "b.point") <= radius
     exact = F.expr("bit_count(a.fp ^ b.fp)") <= radius
+    first = F.expr(f"({agree} & a.up_to) = a.grid")
     return a.join(
-        b,
-        (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp")) & near & exact & (first == F.col("a.grid")),
+        b, (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp")) & near & exact & first
     ).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
@@ -146,7 +154,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     marked = written(with_fingerprint(light).drop("text"), "fingerprints")
     points = marked.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least_id"))
     points = written(points, "points")
-    classes = components(links(points.select("fp"), radius))
+    classes = components(links(points.select("fp"), radius, blocks_for(points.count(), radius)))
     rooted = points.join(classes, points["fp"] == classes["node"], "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root")
     )
@@ -158,20 +166,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def one_of_each(docs: DataFrame, radius: int = 3) -> DataFrame:
     """docs, same columns, with one row of each component: that with the smallest doc_id.
 
-    Of rows with equal doc_ids in a component the one with the smaller text hash stays, of rows
-    equal in both the one that Spark meets first; a row without doc_id stays only if no row of its
+    Of rows with equal doc_ids in a component the one with the smaller text hash stays, and of rows
+    equal in both the one that comes first as JSON; a row without doc_id stays only if no row of its
     component has one.  The choice is a table of ids and hashes, so texts are shuffled
     only if that is too large to broadcast, or where a chosen id and text occur more than once.
     """
-    found = written(near_duplicates(docs, radius=radius).select("doc_id", "text_hash", "root"), "near-duplicates")
+    near = near_duplicates(docs, radius=radius)
+    found = written(near.select("doc_id", "text_hash", "root"), "near-duplicates")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f")
-    kept = found.groupBy("root").agg(first).select(F.col("f.doc_id").alias("__id"), F.col("f.text_hash").alias("__hash"))
-    n = found.groupBy(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__h")).agg(F.count(F.lit(1)).alias("__n"))
-    kept = kept.join(n, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h"))).select("__id", "__hash", "__n")
+    kept = found.groupBy("root").agg(first).select(F.col("f.doc_id").alias("id"), F.col("f.text_hash").alias("hash"))
+    n = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    kept = kept.join(n, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))).select("id", "hash", "n")
     kept = written(kept, "kept")
-    chosen = docs.withColumn("__text_hash", F.xxhash64("text")).join(
-        sized(kept, kept.count()), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
-    )
-    once = chosen.where("__n = 1").select(*docs.columns)
-    again = chosen.where("__n > 1").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
-    return once.unionByName(again)
+    dropped(found)
+    keyed = docs.select(packed(docs), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_hash"))
+    chosen = keyed.join(sized(kept, kept.count()), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")))
+    once = chosen.where("n = 1").select("row")
+    again = chosen.where("n > 1").groupBy("id", "hash").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return once.unionByName(again).select("row.*")
