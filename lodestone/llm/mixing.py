@@ -12,8 +12,8 @@ taken over a tree of 4096 buckets of that order first, so a leaf that holds most
 task: only the bucket in which the prefix ends is put in order itself.
 
 Everything is DataFrame operations.  Defined results: documents without tokens (null or empty
-texts) are never drawn; null levels count as an empty name; repeated rows are drawn one by one; an
-empty table gives an empty result; with a budget above all capacity each document is drawn
+texts) are never drawn; null levels count as an empty name; repeated rows are drawn one by one, in the order of
+their other columns as JSON; an empty table gives an empty result; with a budget above all capacity each document is drawn
 ``max_epochs`` times.
 """
 
@@ -24,7 +24,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, sized, written
+from .common import WORD, dropped, packed, sized, written
 
 BUCKET_DIGITS = 3  # hexadecimal digits of the order: 4096 buckets
 Weights = Mapping[str, int]
@@ -103,34 +103,36 @@ def draw(
     ``share`` of all tokens, as numerator and denominator, is the budget.  docs needs doc_id, text
     and the levels; its columns epoch and n_tokens, if any, are replaced.
     """
-    own = [c for c in docs.columns if c not in ("epoch", "n_tokens") and (keep_text or c != "text")]
-    names = [f"__{i}" for i in range(len(levels))]
-    counted = docs.select("*", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in zip(levels, names)], word_count(F.col("text")).alias("__n"))
-    counted = counted.where("__n > 0").withColumn("__t", F.md5("text"))
-    counted = written(counted.select(*own, *names, "__n", "__t"), "mix")
-    leaves = written(counted.groupBy(*names).agg(F.sum("__n").alias("tokens")), "leaves")
+    names = [f"level{i}" for i in range(len(levels))]
+    gone = [c for c in docs.columns if c.lower() in ("epoch", "n_tokens") or (c == "text" and not keep_text)]
+    text, own = F.coalesce("text", F.lit("")), [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in zip(levels, names)]
+    counted = docs.select(packed(docs, *gone), F.col("doc_id").cast("string").alias("id"), *own, word_count(text).alias("n"), F.md5(text).alias("t")).where("n > 0")
+    counted = written(counted, "mix")
+    leaves = written(counted.groupBy(*names).agg(F.sum("n").alias("tokens")), "leaves")
 
     def budget(total: Column) -> Column:
         return F.call_function("div", total * share[0], F.lit(share[1]))
 
     by_level = {n: (weights or {}).get(c, {}) for c, n in zip(levels, names)}
     plan = budgets(leaves, names, by_level, budget, max_epochs).join(leaves, names)
-    plan = written(plan.selectExpr(*names, "budget div tokens AS __full", "budget % tokens AS __rest"), "budgets")
+    plan = written(plan.selectExpr(*names, "budget div tokens AS full", "budget % tokens AS rest"), "budgets")
+    dropped(leaves)
 
     rows = counted.join(sized(plan, plan.count()), names)
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("__t")))
-    rows = rows.withColumn("__key", key).withColumn("__bucket", F.left("__key", F.lit(BUCKET_DIGITS)))
-    sums = rows.groupBy(*names, "__bucket").agg(F.sum("__n").alias("__s"))
-    sums = _starts(sums.withColumnRenamed("__bucket", "__k"), names, BUCKET_DIGITS)
-    sums = sums.select(*names, F.col("__k").alias("__bucket"), "__start", (F.col("__start") + F.col("__s")).alias("__end"))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce("id", F.lit("null")), F.col("t")))
+    rows = rows.withColumn("key", key).withColumn("bucket", F.left("key", F.lit(BUCKET_DIGITS)))
+    sums = rows.groupBy(*names, "bucket").agg(F.sum("n").alias("__s"))
+    sums = _starts(sums.withColumnRenamed("bucket", "__k"), names, BUCKET_DIGITS)
+    sums = sums.select(*names, F.col("__k").alias("bucket"), F.col("__start").alias("start"), (F.col("__start") + F.col("__s")).alias("end"))
     sums = written(sums, "buckets")
-    placed = rows.join(sized(sums, sums.count()), [*names, "__bucket"])
-    whole = placed.where("__end <= __rest").select(*own, "__n", F.col("__full").alias("epoch"))
-    last = placed.where("__start < __rest AND __end > __rest")
-    upto = Window.partitionBy(*names, "__bucket").orderBy("__key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    partly = last.withColumn("__upto", F.col("__start") + F.sum("__n").over(upto)).where("__upto <= __rest").select(*own, "__n", F.col("__full").alias("epoch"))
-    full = rows.where("__full > 0").select(*own, "__n", F.explode(F.expr("sequence(0L, __full - 1)")).alias("epoch"))
-    return full.unionByName(whole).unionByName(partly).withColumnRenamed("__n", "n_tokens")
+    placed = rows.join(sized(sums, sums.count()), [*names, "bucket"])
+    whole = placed.where("end <= rest").select("row", "n", F.col("full").alias("epoch"))
+    last = placed.where("start < rest AND end > rest")
+    # rows alike in key and id differ in other columns only, and go by these
+    upto = Window.partitionBy(*names, "bucket").orderBy("key", F.col("row.doc_id"), F.to_json("row")).rowsBetween(Window.unboundedPreceding, 0)
+    partly = last.withColumn("upto", F.col("start") + F.sum("n").over(upto)).where("upto <= rest").select("row", "n", F.col("full").alias("epoch"))
+    full = rows.where("full > 0").select("row", "n", F.explode(F.expr("sequence(0L, full - 1)")).alias("epoch"))
+    return full.unionByName(whole).unionByName(partly).select("row.*", "epoch", F.col("n").alias("n_tokens"))
 
 
 def oracle(source: str, domain: str, weights: Mapping[str, Weights], share: tuple[int, int], max_epochs: int, seed: int) -> str:
