@@ -4,17 +4,19 @@ Rules.  Distinct (host, path) pairs are joined with the rules on each suffix of
 longest rule whose path begins the url's wins.
 
 Method.  Pages that a rule decides are seeds: a host is trusted by its share of allowed pages and
-distrusted by its share of blocked ones.  Trust runs along links (personalised PageRank from
-the trusted), distrust against them (who links to the blocked is suspect).  A host without
-links out, or in, keeps its own share.  A page without a rule is blocked if its host's distrust
-reaches ``threshold`` and exceeds its trust.  Ranks are whole numbers (SCALE is 1), so results do not
-depend on the order of additions.
+distrusted by its share of blocked ones.  Trust runs along links: personalised PageRank from the trusted, where a
+host divides its rank among the hosts it links to.  Distrust runs against them, from the blocked: a host receives from each
+host it links to that one's distrust times the share of its own links that lead there, so however many others link to a
+blocked host, one that links to nothing else is suspect.  A host that links nowhere keeps its own share of both.  A
+page without a rule is blocked if its host's distrust reaches ``threshold`` and exceeds its trust.  Ranks are whole
+numbers (SCALE is 1), so results do not depend on the order of additions.  Rounds end when no rank changes, or after ROUNDS,
+when what is still on its way is below a thousandth (DAMPING to that power).
 
 The graph is one of hosts, aggregated before it is shuffled; each
-round's ranks are a table in the shared folder.  Everything is DataFrame operations.
+round's ranks are a table in the shared folder, which goes when the next one is written.  Everything is DataFrame operations.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule and is
-allowed; null html has no links; repeated rows are judged alike and count as pages each.
+allowed; null html has no links; repeated rows are judged alike and count as pages each; without rules nothing is blocked.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, sized, written
 
 SCALE = 10**9
 DAMPING = 85  # percent
-ROUNDS = 20
+ROUNDS = 43
 THRESHOLD = SCALE // 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
@@ -81,33 +83,41 @@ def edges(pages: DataFrame) -> DataFrame:
 
 
 def spread(seeds: DataFrame, graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) after personalised PageRank from seeds (host, trust, distrust).
+    """(host, trust, distrust) from seeds (host, trust, distrust) and edges (src, dst, w).
 
-    kind 1 is trust along links, kind 2 distrust against them.
+    kind 1 is trust along links, kind 2 distrust against them.  A rank moves from ``src`` to ``dst`` with the weight
+    w / total; total are the links of the page's host in either kind.
     """
-    both = graph.select(F.lit(1).alias("kind"), "src", "dst", "w").unionByName(
-        graph.select(F.lit(2).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    )
-    totals = both.groupBy("kind", "src").agg(F.sum("w").alias("total"))
-    both = written(both.join(totals, ["kind", "src"]), "host-edges")
+    graph = written(graph, "links")
+    totals = graph.groupBy("src").agg(F.sum("w").alias("total"))
+    along = graph.join(totals, "src").select("src", "dst", "w", "total")
+    both = along.select(F.lit(1).alias("kind"), "*").unionByName(along.select(F.lit(2).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w", "total"))
+    both = written(both, "host-edges")
+    n_edges = both.count()
     start = seeds.select("host", F.explode(F.array(F.struct(F.lit(1).alias("kind"), F.col("trust").alias("seed")), F.struct(F.lit(2).alias("kind"), F.col("distrust").alias("seed")))).alias("s"))
     start = start.select("s.kind", "host", "s.seed")
-    ends = totals.select("kind", F.col("src").alias("host"), F.lit(True).alias("has_links"))
+    # a host that links nowhere passes no trust on and receives no distrust, so it keeps its own of either kind
+    ends = totals.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("kind"), F.col("src").alias("host"), F.lit(True).alias("has_links"))
     nodes = start.select("kind", "host").unionByName(both.select("kind", F.col("dst").alias("host"))).unionByName(both.select("kind", F.col("src").alias("host"))).distinct()
     nodes = nodes.join(start, ["kind", "host"], "left").join(ends, ["kind", "host"], "left")
-    state = written(nodes.select("kind", "host", F.coalesce("seed", F.lit(0).cast("long")).alias("seed"), F.coalesce("has_links", F.lit(False)).alias("has_links")).withColumn("rank", F.col("seed")), "host-ranks")
+    state = written(nodes.select("kind", "host", F.coalesce("seed", F.lit(0).cast("long")).alias("seed"), F.coalesce("has_links", F.lit(False)).alias("has_links")).withColumn("rank", F.col("seed")).withColumn("before", F.lit(None).cast("long")), "host-ranks")
     share = F.expr("CAST(CAST(rank AS DECIMAL(19,0)) * CAST(w AS DECIMAL(19,0)) div CAST(total AS DECIMAL(19,0)) AS BIGINT)")
     for _ in range(rounds):
-        moved = both.join(state.select("kind", F.col("host").alias("src"), "rank").where("rank > 0"), ["kind", "src"]).select(
-            "kind", F.col("dst").alias("host"), share.alias("got"), F.lit(None).cast("long").alias("seed"), F.lit(None).cast("boolean").alias("has_links")
+        moved = sized(both, n_edges).join(state.select("kind", F.col("host").alias("src"), "rank").where("rank > 0"), ["kind", "src"]).select(
+            "kind", F.col("dst").alias("host"), share.alias("got"), F.lit(None).cast("long").alias("seed"), F.lit(None).cast("boolean").alias("has_links"), F.lit(None).cast("long").alias("before")
         )
         # what a node keeps goes with its seed, so one aggregation makes the next ranks
         kept = F.when(F.col("has_links"), F.lit(0).cast("long")).otherwise(F.col("rank")).alias("got")
-        together = moved.unionByName(state.select("kind", "host", kept, "seed", "has_links"))
-        summed = together.groupBy("kind", "host").agg(F.sum("got").alias("got"), F.max("seed").alias("seed"), F.max("has_links").alias("has_links"))
-        state = summed.select("kind", "host", "seed", "has_links", F.expr(f"({100 - DAMPING} * seed + {DAMPING} * got) div 100").alias("rank"))
+        together = moved.unionByName(state.select("kind", "host", kept, "seed", "has_links", F.col("rank").alias("before")))
+        # a host may gather from all others, so sums are wider than a rank
+        summed = together.groupBy("kind", "host").agg(F.sum(F.col("got").cast("decimal(28,0)")).alias("got"), F.max("seed").alias("seed"), F.max("has_links").alias("has_links"), F.max("before").alias("before"))
+        rank = F.expr(f"CAST((CAST({100 - DAMPING} AS DECIMAL(3,0)) * seed + CAST({DAMPING} AS DECIMAL(3,0)) * got) div CAST(100 AS DECIMAL(3,0)) AS BIGINT)").alias("rank")
         # the next round reads these ranks twice, so each round's plan would double the one before
-        state = written(state, "host-ranks")
+        old, state = state, written(summed.select("kind", "host", "seed", "has_links", rank, "before"), "host-ranks")
+        dropped(old)
+        if state.where("rank <> before").isEmpty():
+            break
+    dropped(graph, both)
     return state.groupBy("host").agg(F.sum(F.expr("CASE WHEN kind = 1 THEN rank END")).alias("trust"), F.sum(F.expr("CASE WHEN kind = 2 THEN rank END")).alias("distrust"))
 
 
@@ -115,7 +125,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame, threshold: int =
     """page_id, host, path, rule, verdict, trust, distrust of every row of pages (page_id, url, html)."""
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
-        rules = spark.createDataFrame([(r, v) for v, r in rules], "rule string, verdict string")
+        each = [F.struct(F.lit(r).alias("rule"), F.lit(v).alias("verdict")) for v, r in rules]
+        rules = spark.range(1).select(F.inline(F.array(*each))) if each else spark.range(0).selectExpr("'' AS rule", "'' AS verdict")
     named = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     ruled = written(named.join(matched(named, rules), ["host", "path"], "left"), "url-rules")
     part = lambda v: F.expr(f"count_if(rule_verdict = '{v}') * {SCALE}L div count(1)")
@@ -147,11 +158,12 @@ j AS MATERIALIZED (SELECT page_id, n.host, n.path, best[3] AS rule, best[4] AS r
 l AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS link FROM n WHERE host <> ''),
 e0 AS (SELECT src, link, {host_of.format("link", "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)")} AS a FROM l),
 e AS (SELECT src, CASE WHEN a <> '' THEN a WHEN NOT regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN src END AS dst, count(*) AS w FROM e0 GROUP BY ALL),
-b AS MATERIALIZED (SELECT *, sum(w) OVER (PARTITION BY kind, src) AS total FROM (SELECT 1 AS kind, src, dst, w FROM e WHERE dst IS NOT NULL UNION ALL SELECT 2, dst, src, w FROM e WHERE dst IS NOT NULL)),
+t0 AS MATERIALIZED (SELECT src, dst, w, sum(w) OVER (PARTITION BY src) AS total FROM e WHERE dst IS NOT NULL),
+b AS MATERIALIZED (SELECT 1 AS kind, src, dst, w, total FROM t0 UNION ALL SELECT 2, dst, src, w, total FROM t0),
 s AS (SELECT host, {SCALE} * count(*) FILTER (rv = 'allow') // count(*) AS trust, {SCALE} * count(*) FILTER (rv = 'block') // count(*) AS distrust FROM j WHERE host <> '' GROUP BY host),
 s2 AS (SELECT 1 AS kind, host, trust AS seed FROM s UNION ALL SELECT 2, host, distrust FROM s),
 nodes AS (SELECT kind, host FROM s2 UNION SELECT kind, src FROM b UNION SELECT kind, dst FROM b),
-k0 AS MATERIALIZED (SELECT nodes.kind, nodes.host, coalesce(seed, 0) AS seed, EXISTS (SELECT 1 FROM b WHERE b.kind = nodes.kind AND b.src = nodes.host) AS has, coalesce(seed, 0) AS rank
+k0 AS MATERIALIZED (SELECT nodes.kind, nodes.host, coalesce(seed, 0) AS seed, EXISTS (SELECT 1 FROM t0 WHERE t0.src = nodes.host) AS has, coalesce(seed, 0) AS rank
   FROM nodes LEFT JOIN s2 ON s2.kind = nodes.kind AND s2.host = nodes.host)"""
     ]
     for k in range(1, rounds + 1):
