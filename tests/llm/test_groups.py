@@ -125,7 +125,7 @@ def test_one_of_each(spark, frame, odd):
 
 def leak_table(docs, items, least=0.8):
     cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    bag = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    bag = lambda w: [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
     out = {}
     for d, t in docs:
         s = bag(cut(t))
@@ -182,6 +182,40 @@ def test_leaks_of_repetitive_and_short_items(spark, frame):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_leaks_in_another_order(spark, frame):
+    """Swapped halves, moved blocks, a passage twice and passages of scattered parts."""
+    r = random.Random(7)
+    words = lambda n, v=3000: [f"t{r.randrange(v)}" for _ in range(n)]
+    items = [(i, words(r.choice([30, 60, 90, 130]))) for i in range(25)]
+    items += [(100 + i, words(40, 6)) for i in range(5)] + [(200, ["lone"]), (201, "only four words here".split())]
+    docs = []
+    for k in range(150):
+        _, w = items[r.randrange(30)]
+        cuts = sorted(r.sample(range(len(w)), r.choice([1, 1, 2, 3])))
+        parts = [w[a:b] for a, b in zip([0, *cuts], [*cuts, len(w)])]
+        r.shuffle(parts)
+        body = [x for p in parts for x in p + words(r.choice([0, 0, 0, 1, 3]))]
+        docs.append((k, words(r.randint(0, 60)) + body * r.choice([1, 1, 2]) + words(r.randint(0, 60))))
+    docs += [(900, ["Lone!"]), (901, ["lone", "wolf"]), (902, "Only four, words here".split()), (903, "so only four words here".split())]
+    docs, items = [(d, " ".join(w)) for d, w in docs], [(i, " ".join(w)) for i, w in items]
+    want = leak_table(docs, items)
+    got = {(x["doc_id"], x["item_id"]): x["similarity"] for x in decontam.leaks(frame(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert len(want) > 60 and (900, 200) in want and (902, 201) in want and (901, 200) not in want
+
+
+def test_fingerprints_of_bags(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(11)
+    bags = [[r.getrandbits(64) - (1 << 63) for _ in range(n)] * k for n, k in ((1, 1), (2, 1), (7, 3), (50, 1), (300, 1), (1000, 70))]
+    got = spark.createDataFrame([(i, b) for i, b in enumerate(bags)], "i int, b array<long>").select("i", decontam.fingerprint(F.col("b")).alias("f")).collect()
+    for row in got:
+        b = bags[row["i"]]
+        want = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in b) > len(b))
+        assert row["f"] % (1 << 64) == want
+
+
 def test_blocks_reach_the_radius(spark):
     """Every fingerprint within RADIUS shares a near value of some block."""
     from pyspark.sql import functions as F
@@ -273,7 +307,7 @@ def test_archives_give_back_payloads_and_headers(spark, tmp_path):
 def test_reader_takes_header_predicates_and_skips_payloads(tmp_path):
     from pyspark.sql.datasource import EqualTo, GreaterThan, In
 
-    rows = [{"record_type": "response", "record_id": f"<urn:page:{i}>", "refers_to": None, "target_uri": f"u{i}", "payload_digest": None, "payload_bytes": 500_000,
+    rows = [{"record_type": "response", "record_id": f"<urn:page:{i}>", "refers_to": None, "target_uri": f"u{i}", "date": None, "payload_digest": None, "payload_bytes": 500_000,
              "payload": random.Random(i).randbytes(500_000)} for i in range(20)]
     plain = tmp_path / "part-x.warc.gz"
     plain.write_bytes(b"".join(warc.member(warc.record(r)) for r in rows))
@@ -298,20 +332,55 @@ def test_reader_takes_header_predicates_and_skips_payloads(tmp_path):
 
     with plain.open("rb") as f:
         counting = Counting(f)
-        for one in warc.Members(counting, plain.stat().st_size):
-            one.until(mark=b"\r\n\r\n")
+        source, at = warc.Source(counting, 1 << 12), 0
+        while at < plain.stat().st_size:
+            one = warc.Member(source, at)
+            one.until(b"\r\n\r\n")
+            at = one.end()
         assert counting.n < 0.2 * plain.stat().st_size  # skipped members were not even read
 
 
 def test_reader_takes_gzip_members_of_others(tmp_path):
     import gzip
 
-    row = {"record_type": "response", "record_id": "<urn:page:1>", "refers_to": None, "target_uri": "u", "payload_digest": None, "payload_bytes": 5, "payload": b"hello"}
+    row = {"record_type": "response", "record_id": "<urn:page:1>", "refers_to": None, "target_uri": "u", "date": None, "payload_digest": None, "payload_bytes": 5, "payload": b"hello"}
     (tmp_path / "a.warc.gz").write_bytes(gzip.compress(warc.record(row)) * 3)
     found = [r["payload"] for r in warc.read_file(str(tmp_path / "a.warc.gz"), lambda r: True, True)]
     assert found == [b"hello"] * 3
 
 
+def test_members_with_many_records(tmp_path):
+    import gzip
+
+    sizes = [5, 0, 300_000, 70_000, 4]
+    rows = [{"record_type": "response", "record_id": f"<urn:page:{i}>", "refers_to": None, "target_uri": f"u{i}", "date": "2026-01-02T03:04:05Z", "payload_digest": None,
+             "payload_bytes": n, "payload": random.Random(i).randbytes(n)} for i, n in enumerate(sizes)]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(gzip.compress(b"".join(map(warc.record, rows))) + warc.member(warc.record(rows[2])) + gzip.compress(b"") + gzip.compress(warc.record(rows[0])))
+    found = lambda accept, payload: list(warc.read_file(str(path), accept, payload))
+    all_rows = found(lambda r: True, True)
+    assert [r["payload"] for r in all_rows] == [r["payload"] for r in [*rows, rows[2], rows[0]]]
+    assert {r["date"] for r in all_rows} == {"2026-01-02T03:04:05Z"}
+    assert [r["payload"] for r in found(lambda r: r["target_uri"] == "u3", True)] == [rows[3]["payload"]]
+    assert [(r["payload_bytes"], r["payload"]) for r in found(lambda r: True, False)] == [(n, None) for n in [*sizes, sizes[2], sizes[0]]]
+    with pytest.raises(ValueError):
+        path.write_bytes(path.read_bytes()[:-200_000])
+        found(lambda r: True, True)
+
+
+def test_partitions_grow_with_bytes(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    pages = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(800)), lambda i: F.sha2((i * 1000 + F.col("id")).cast("string"), 256))).alias("html"))
+    path = warc.write_pages(pages.coalesce(1), str(tmp_path / "w"))
+    many = warc.WarcReader({"path": path, "partition_bytes": 1 << 20}).partitions()
+    assert len(many) > 3 and len({r[0] for p in many for r in p.ranges}) == 1
+    ids = [row["record_id"] for p in many for b in warc.WarcReader({"path": path}).read(p) for row in b.to_pylist()]
+    assert sorted(ids) == sorted(f"<urn:page:{i}>" for i in range(300))
+    dates = {r["date"] for r in warc.read_archives(spark, path, payload=False).select("date").distinct().collect()}
+    assert len(dates) == 1 and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", dates.pop())
+
+
 # --- urls ---
 
 
@@ -348,6 +417,40 @@ def test_link_graph_equals_sql(spark):
     assert (None, "block") in by and (None, "allow") in by
 
 
+def test_distrust_does_not_shrink_with_the_number_of_linkers(spark):
+    """Hosts that link to a blocked host only are blocked, however many there are and whoever links to them."""
+    link = lambda *hosts: "".join(f'<a href="http://{h}/">x</a>' for h in hosts)
+    rows = [(0, "http://bad.net/es/0", link("bad.net"))]
+    rows += [(k, f"http://only{k}.org/", link("bad.net")) for k in range(1, 41)]
+    rows += [(k, f"http://rarely{k}.org/", link("bad.net", *[f"good{j}.com" for j in range(9)])) for k in range(41, 51)]
+    rows += [(51, "http://portal.org/", link(*[f"only{k}.org" for k in range(1, 41)])), (52, "http://quiet.org/", "")]
+    rows += [(60 + k, f"http://good{k}.com/", link("good0.com")) for k in range(9)]
+    out = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, PAGES), queries.URL_RULES).collect()}
+    assert all(out[k] == "block" for k in range(0, 41)) and all(out[k] == "allow" for k in range(41, 51))
+    assert out[51] == "block" and out[52] == "allow"
+    assert urls.judge(spark.createDataFrame(rows, PAGES), []).where("verdict = 'block'").count() == 0
+
+
+def test_blocks_grow_with_the_table(spark):
+    assert [simhash.blocks_for(10**k) for k in (0, 5, 7, 9)] == sorted(simhash.blocks_for(10**k) for k in (0, 5, 7, 9))
+    assert simhash.blocks_for(10**9) > simhash.blocks_for(10**5)
+    r = random.Random(12)
+    base = [r.getrandbits(64) for _ in range(40)]
+    points = sorted({b ^ sum(1 << x for x in r.sample(range(64), r.randint(0, 4))) for b in base for _ in range(4)})
+    signed = [p - (1 << 64) if p >> 63 else p for p in points]
+    want = {tuple(sorted((signed[i], signed[j]))) for i in range(len(points)) for j in range(i) if (points[i] ^ points[j]).bit_count() <= 3}
+    for blocks in (4, 9):
+        got = [tuple(x) for x in simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), blocks=blocks).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_one_of_equal_rows_is_the_same_in_any_order(spark):
+    rows = [(1, PROSE, "b", "s"), (1, PROSE, "a", "s"), (1, PROSE, "c", "s")]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "doc_id long, text string, lang string, source string")
+        assert [x["lang"] for x in simhash.one_of_each(df).collect()] == ["a"]
+
+
 def test_native_operators_use_no_python(spark, frame, tmp_path):
     """Plans of the operators marked native hold no Python node."""
     docs = frame([(1, PROSE), (2, "call +1 (017) 555-7713")])
