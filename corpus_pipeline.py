@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontam, mixing, pii, quality, queries, simhash
-from lodestone.llm.common import labelled_sample, table, written
+from lodestone.llm.common import labelled_sample, packed, table, written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects; it learns from all of documents' labels."""
     sample = labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", 3, 1, 4000)
-    scored = quality.score_documents(docs, quality.train(sample), name="__quality")
-    return scored.where("__quality >= 0.5").select(*docs.columns)
+    scored = quality.score_documents(docs.select(packed(docs), "text"), quality.train(sample))
+    return scored.where("score >= 0.5").select("row.*")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
