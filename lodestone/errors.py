@@ -22,6 +22,9 @@ CODES = {
 
 
 class EngineError(Exception):
+    #: Of the statement that failed: rolledBack, or unknown if the store did not say whether it holds the new version.
+    commit_state = "rolledBack"
+
     def __init__(self, kind: str, message: str, line: int = 0, column: int = 0):
         super().__init__(f"{kind} {CODES[kind]}" + (f" at {line}:{column}" if line else "") + f": {message}")
         self.kind, self.code, self.message, self.line, self.column = kind, CODES[kind], message, line, column

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, fields, is_dataclass
 
 
 @dataclass(frozen=True)
@@ -218,3 +219,39 @@ class Analyze(Node):
 class Script:
     statements: list[Node] = field(default_factory=list)
     texts: list[str] = field(default_factory=list)
+
+
+def walk(node) -> Iterator[Node]:
+    """A node and all nodes inside it."""
+    if isinstance(node, tuple):
+        for x in node:
+            yield from walk(x)
+    elif is_dataclass(node):
+        yield node
+        for f in fields(node):
+            yield from walk(getattr(node, f.name))
+
+
+def has_query(node) -> bool:
+    return any(isinstance(n, Select) for n in walk(node))
+
+
+def dump(node):
+    """A node as JSON has it: its class and its fields by name; tuples are lists."""
+    if isinstance(node, (tuple, list)):
+        return [dump(x) for x in node]
+    if is_dataclass(node):
+        return {"node": type(node).__name__, **{f.name: dump(getattr(node, f.name)) for f in fields(node)}}
+    return node
+
+
+def load(document):
+    """The node that dump() gave."""
+    if isinstance(document, list):
+        return tuple(load(x) for x in document)
+    if not isinstance(document, dict):
+        return document
+    kind = globals().get(document.get("node", ""))
+    if not (isinstance(kind, type) and issubclass(kind, Node)):
+        raise ValueError(f"{document.get('node')} is no kind of node")
+    return kind(**{k: load(v) for k, v in document.items() if k != "node"})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -30,22 +31,54 @@ class Files:
         finally:
             stream.close()
 
+    def _put(self, path, text: str, overwrite: bool) -> None:
+        stream = self.fs.create(path, overwrite)
+        try:
+            stream.write(bytearray(text.encode("utf-8")))
+        finally:
+            stream.close()
+
     def create(self, name: str, text: str) -> bool:
         """Write a file that must not exist yet; false if another writer was first.
 
-        The content is complete before the name appears, since only a rename publishes it.
+        The content is complete before the name appears.  On a local disk the name is a link, which fails if it
+        is taken, and on HDFS a rename, which does too.  Object stores show a file when it is closed; there it is written
+        without leave to overwrite, which is exclusive where the store's client makes it a conditional request.
         """
+        target = self._path(name)
+        scheme = self.fs.getUri().getScheme()
+        if scheme not in ("file", "hdfs", "viewfs"):
+            try:
+                self._put(target, text, False)
+            except Py4JJavaError as e:
+                if "AlreadyExists" in e.java_exception.getClass().getName():
+                    return False
+                raise
+            return True
         temporary = self._path(f".{uuid.uuid4().hex}.new")
-        stream = self.fs.create(temporary, True)
+        self._put(temporary, text, True)
         try:
-            stream.write(bytearray(text.encode("utf-8")))
+            if scheme == "file":
+                nio = self.jvm.java.nio.file
+                local = lambda p: nio.Path.of(p.toUri().getPath(), self.spark.sparkContext._gateway.new_array(self.jvm.java.lang.String, 0))
+                try:
+                    nio.Files.createLink(local(target), local(temporary))
+                except Py4JJavaError as e:
+                    if "AlreadyExists" in e.java_exception.getClass().getName():
+                        return False
+                    raise
+                return True
+            return bool(not self.fs.exists(target) and self.fs.rename(temporary, target))
         finally:
-            stream.close()
-        target = self._path(name)
-        if self.fs.exists(target) or not self.fs.rename(temporary, target):
             self.fs.delete(temporary, False)
-            return False
-        return True
+
+    def write(self, name: str, text: str) -> None:
+        """Write a small file, in place of one of that name."""
+        self._put(self._path(name), text, True)
+
+    def modified(self, name: str) -> float:
+        """When a file or folder last changed, in seconds."""
+        return self.fs.getFileStatus(self._path(name)).getModificationTime() / 1000
 
     def names(self, folder: str, suffix: str = "") -> list[str]:
         if not self.exists(folder):

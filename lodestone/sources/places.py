@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,9 +13,18 @@ _OWN: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors share; a temporary one only
-    where the setting is absent, as in local tests."""
+    """A fresh folder below spark.checkpoint.dir, which all executors share.
+
+    Where the setting is absent, local masters get a temporary folder that goes at exit; on a cluster
+    that is an error, since machines do not share local folders.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="lodestone-"))
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="lodestone-")
+            atexit.register(shutil.rmtree, _OWN[app], True)
+        base = _OWN[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

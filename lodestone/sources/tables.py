@@ -36,29 +36,9 @@ class Tables:
         rows.write.parquet(self.files.path(folder))
         return [f"{folder}/{n}" for n in self.files.names(folder, ".parquet")]
 
-    # --- changes; each gives the table's new list of files ---
-
     def append(self, table: TableDef, rows: DataFrame) -> list[str]:
         return table.files + self.write(table, rows)
 
-    def replace(self, table: TableDef, hit: str, change) -> tuple[list[str], list[str], list[str]]:
-        """Rewrite the files that hold rows for which ``hit`` is true: (all, removed, added).
-
-        change turns the rows of these files into what shall stand instead.  Other files stay.
-        """
-        here = self.read(table)
-        if not table.files:
-            return table.files, [], []
-        # names of touched files only, never rows, come to the driver
-        touched = here.where(hit).select(F.col("_metadata.file_name").alias("f")).distinct().collect()
-        names = {r["f"] for r in touched}
-        old = [f for f in table.files if f.rsplit("/", 1)[1] in names]
-        if not old:
-            return table.files, [], []
-        part = self.spark.read.schema(schema(table)).parquet(*[self.files.path(f) for f in old])
-        new = self.write(table, change(part))
-        return [f for f in table.files if f not in old] + new, old, new
-
     # --- constraints ---
 
     def subset(self, table: TableDef, files: list[str]) -> DataFrame:
@@ -74,7 +54,8 @@ class Tables:
             if c.kind.name == "VARCHAR" and c.kind.a and not rows.where(F.length(c.name) > c.kind.a).isEmpty():
                 raise EngineError("Execution", f"{table.name}.{c.name} holds {c.kind.a} characters at most")
         for r in table.rules:
-            if r.kind == "CHECK" and not rows.where(f"NOT coalesce({r.check}, true)").isEmpty():
+            # names in a check are qualified by the table's
+            if r.kind == "CHECK" and not rows.alias(table.name).where(f"NOT coalesce({r.check}, true)").isEmpty():
                 raise EngineError("Execution", f"check {r.name} of {table.name} fails")
         for name, columns in table.unique_keys():
             self.unique(table, name, columns, new)

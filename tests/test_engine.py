@@ -242,3 +242,157 @@ def test_division_rounds_once(spark, a, b):
     with decimal.localcontext(decimal.Context(prec=80)):
         want = (a / b).quantize(D("0.000001"), rounding=decimal.ROUND_HALF_UP)
     assert got == want
+
+
+def test_three_valued_in(session):
+    session.execute("CREATE TABLE x(v INT); INSERT INTO x VALUES (10),(NULL),(20); CREATE TABLE s(v INT); INSERT INTO s VALUES (10),(NULL); CREATE TABLE none(v INT);")
+    of = lambda text: {r[0]: r[1] for r in rows(session, f"SELECT v, {text} AS w FROM x")}
+    assert of("v IN (SELECT v FROM s)") == {10: True, None: None, 20: None}
+    assert of("v NOT IN (SELECT v FROM s)") == {10: False, None: None, 20: None}
+    assert of("v IN (SELECT v FROM s WHERE v > 0)") == {10: True, None: None, 20: False}
+    assert of("v NOT IN (SELECT v FROM none)") == {10: True, None: True, 20: True}
+    assert len(rows(session, "SELECT v FROM x WHERE (v IN (SELECT v FROM s)) IS NULL")) == 2
+    assert rows(session, "SELECT v FROM x WHERE v NOT IN (SELECT v FROM s WHERE v > 0)") == [(20,)]
+    assert rows(session, "SELECT v FROM x WHERE NOT (v IN (SELECT v FROM s WHERE v > 0))") == [(20,)]
+    assert rows(session, "SELECT v FROM x WHERE v NOT IN (SELECT v FROM s)") == [] and len(rows(session, "SELECT v FROM x WHERE v NOT IN (SELECT v FROM none)")) == 3
+    session.execute("UPDATE x SET v = 0 WHERE v NOT IN (SELECT v FROM s WHERE v > 0); DELETE FROM x WHERE v IN (SELECT v FROM s);")
+    assert sorted(rows(session, "SELECT v FROM x"), key=str) == [(0,), (None,)]
+
+
+def test_not_in_is_no_broadcast_of_the_set(session):
+    session.execute("CREATE TABLE x(v INT); INSERT INTO x VALUES (1),(2); CREATE TABLE s(v INT); INSERT INTO s VALUES (2),(3);")
+    session.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    df = session.sql("SELECT v FROM x WHERE v NOT IN (SELECT v FROM s)")
+    assert [tuple(r) for r in df.collect()] == [(1,)]
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_timestamps_keep_their_time(spark, tmp_path):
+    from lodestone.session import Session
+
+    times = [datetime.datetime(2024, 5, 1, 10), datetime.datetime(2024, 5, 1, 11), None]
+    spark.createDataFrame([(x,) for x in times], "ts timestamp").write.parquet(str(tmp_path / "p"))
+    s_ = Session(spark)
+    s_.attach("e", str(tmp_path / "p"))
+    assert sorted(rows(s_, "SELECT DISTINCT ts FROM e"), key=str) == [("2024-05-01 10:00:00",), ("2024-05-01 11:00:00",), (None,)]
+    error(s_, "SELECT ts FROM e WHERE ts = DATE '2024-05-01';", "Semantic")
+    s_.attach("e", str(tmp_path / "p"), dates=["ts"])
+    with pytest.raises(Exception):
+        rows(s_, "SELECT ts FROM e")
+    with pytest.raises(EngineError):
+        s_.attach("e", str(tmp_path / "p"), dates=["other"])
+
+
+def test_checkpoint_spares_open_sessions(session, spark):
+    from lodestone.session import Session
+
+    session.execute("CREATE TABLE k(a INT); INSERT INTO k VALUES (1);")
+    reader = Session(spark, session.files.root)
+    old = reader.sql("SELECT a FROM k")
+    session.execute("BEGIN; INSERT INTO k VALUES (2);")
+    other = Session(spark, session.files.root)
+    assert other.execute("CHECKPOINT;")[0].affected_rows == 0
+    session.execute("COMMIT;")
+    assert rows(other, "SELECT COUNT(*) AS n FROM k") == [(2,)]  # reads see the newest version
+    other.execute("UPDATE k SET a = 5 WHERE a = 1;")
+    other.execute("CHECKPOINT;")
+    assert [tuple(r) for r in old.collect()] == [(1,)]
+    assert rows(Session(spark, session.files.root), "SELECT a FROM k ORDER BY a") == [(2,), (5,)]
+    # the session that lost a race goes on with the newer version
+    session.execute("BEGIN; DELETE FROM k;")
+    other.execute("INSERT INTO k VALUES (7);")
+    error(session, "COMMIT;", "Transaction")
+    assert rows(session, "SELECT a FROM k ORDER BY a") == [(2,), (5,), (7,)]
+    session.execute("INSERT INTO k VALUES (8);")
+    for s_ in (reader, other):
+        s_.close()
+    assert session.execute("CHECKPOINT;")[0].affected_rows >= 1
+    # files that went while a transaction was open are noticed
+    session.execute("BEGIN; INSERT INTO k VALUES (9);")
+    for f in session.staged.table("k").files:
+        if f not in session.catalog.state.table("k").files:
+            session.files.remove(f)
+    error(session, "COMMIT;", "Storage")
+    assert len(rows(session, "SELECT a FROM k")) == 4
+
+
+def test_two_writers_of_one_version(session, tmp_path):
+    assert session.files.create("x.json", "one") and not session.files.create("x.json", "two")
+    assert session.files.read("x.json") == "one"
+
+
+def test_settings_of_the_caller_stay(spark, tmp_path):
+    from lodestone.session import SETTINGS, Session
+
+    spark.conf.set("spark.sql.decimalOperations.allowPrecisionLoss", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    s_ = Session(spark, str(tmp_path / "s"))
+    assert spark.conf.get("spark.sql.decimalOperations.allowPrecisionLoss") == "true"
+    assert all(s_.spark.conf.get(k) == v for k, v in SETTINGS.items()) and s_.spark.conf.get("spark.sql.shuffle.partitions") == "8"
+
+
+def test_cancel_is_for_one_session(spark, tmp_path):
+    from lodestone.session import Session
+
+    s_ = Session(spark, timeout=0.2)
+    spark.range(0, 50_000, 1, 60).selectExpr("id AS a").write.parquet(str(tmp_path / "p"))
+    s_.attach("p", str(tmp_path / "p"))
+    result = s_.execute("SELECT COUNT(*) AS n FROM p x JOIN p y ON x.a < y.a;")[0]
+    with pytest.raises(EngineError) as e:
+        result.rows()
+    assert e.value.kind == "Cancelled"
+    assert spark.range(10).count() == 10
+
+
+def test_roles_and_audit(t, spark):
+    from lodestone.session import Session
+
+    t.grant("staff", "SELECT", "t")
+    t.join_role("readers", "staff")
+    t.join_role("ann", "readers")
+    ann = Session(spark, t.files.root, user="ann")
+    assert len(rows(ann, "SELECT id FROM t")) == 6
+    for act in (lambda: ann.grant("ann", "ALL"), lambda: ann.join_role("ann", "owners"), ann.audit, lambda: ann.restore("x"), lambda: ann.index_verify("none")):
+        with pytest.raises(EngineError):
+            act()
+    t.leave_role("readers", "staff")
+    error(ann, "SELECT id FROM t;", "Permission") if ann.catalog.refresh() else pytest.fail("no newer version")
+    assert [x["what"] for x in t.audit()] == ["grant", "join", "join", "leave"]
+    with pytest.raises(EngineError):
+        t.grant("ann", "FLY", "t")
+    assert [x["name"] for x in ann.describe()] == []
+
+
+def test_trees_survive_json(t):
+    import json
+
+    from lodestone.plans import ast
+
+    text = "WITH q(a) AS (SELECT id FROM r) SELECT DISTINCT a, -1.5 AS d FROM q LEFT JOIN t ON t.id = a AND NOT t.v IN (1, NULL) WHERE a IN (SELECT id FROM t WHERE g LIKE 'a%' OR g IS NULL) ORDER BY a DESC NULLS LAST LIMIT 3;"
+    (node,) = parse(text).statements
+    assert ast.load(json.loads(json.dumps(ast.dump(node)))) == node
+    document = t.compile("INSERT INTO one VALUES (5); SELECT id FROM one ORDER BY id;")
+    assert t.execute_plan(json.loads(json.dumps(document)))[1].rows() == [(1,), (5,)]
+    document["statements"][0]["ast"]["node"] = "Nothing"
+    with pytest.raises(EngineError):
+        t.execute_plan(document)
+
+
+def test_explain(t):
+    t.execute("CREATE INDEX i ON t(g); ANALYZE TABLE t;")
+    told = t.execute("EXPLAIN ANALYZE SELECT g, COUNT(*) AS n FROM t WHERE g = 'a' AND 1 = 1 GROUP BY g;")[0].rows()
+    import json
+
+    by = lambda item: [x for i, x in told if i == item]
+    assert by("rows") == ["1"] and len(by("raw")) == len(by("physical")) == 1 and by("rule")
+    assert [(c["by"], c["rows"]) for c in map(json.loads, by("candidate"))] == [("scan", 6), ("i", 3)]
+    nodes = [json.loads(x) for x in by("node")]
+    assert nodes[0]["depth"] == 0 and any(n["operator"].startswith("Scan") and n["rows"] <= 6 for n in nodes) and all("operator" in n for n in nodes)
+
+
+def test_many_rows_are_one_task(session):
+    session.execute("CREATE TABLE k(a INT, b VARCHAR(5)); INSERT INTO k VALUES " + ", ".join(f"({i} + 0, 'x{i}')" for i in range(200)) + ";")
+    assert len(session.state.table("k").files) == 1 and rows(session, "SELECT SUM(a) AS s FROM k") == [(199 * 100,)]
+    session.execute("INSERT INTO k VALUES ((SELECT MAX(a) FROM k) + 1, 'last'), (1 + 1, 'x');")
+    assert rows(session, "SELECT b FROM k WHERE a = 200") == [("last",)]
+    error(session, "INSERT INTO k VALUES (1 + 1, 'sixsix');", "Execution")
