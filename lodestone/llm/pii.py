@@ -40,7 +40,7 @@ BASE = KINDS[:4]
 #: Feature -> how many values it has.  The driver gets as many counts as there are vectors at most, some 53,000 a kind.
 FEATURES = {"digits": 21, "groups": 6, "sep": 6, "last": 5, "ctx": 7, "good": 2}
 HELD = 4  # one part in so many sets the thresholds
-RUN = 256  # elements that a loop over an array gathers before it sets them aside
+RUN = 256  # elements of an array that a loop goes through at a time
 CUT = 4096  # characters of a piece of a text that is rewritten
 _OPEN, _CLOSE = "\x01", "\x02"
 
@@ -105,28 +105,36 @@ def empty(kind: str) -> Column:
     return F.expr(f"CAST(array() AS array<{kind}>)")
 
 
-def loop(items: Column, state: Column, kind: str, step, finish=None) -> Column:
-    """What a loop over an array gives out: step(state, item) returns the next state and an array of ``kind``.
+def _gathered(values: Column, zero: Column, op, kind: str) -> Column:
+    """running() by a loop whose state is copied at each step: for short arrays."""
+    start = F.struct(zero.alias("now"), empty(kind).alias("out"))
+    return F.aggregate(values, start, lambda acc, x: F.struct(op(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out")), lambda acc: acc["out"])
 
-    An array grows by being copied, so what is given out is gathered in runs of RUN elements.  finish(state)
-    gives out the last of it.
+
+def running(values: Column, zero: Column, op, kind: str = "int") -> Column:
+    """For each place of an array, op over all that stand before it.
+
+    A long array is cut into runs of RUN.  Each is reduced to one value, and begins with what the runs before it
+    give, so no long state is carried along.
     """
-    start = F.struct(state.alias("state"), empty(kind).alias("run"), empty(f"array<{kind}>").alias("done"))
-
-    def one(acc: Column, item: Column) -> Column:
-        after, out = step(acc["state"], item)
-        full = F.size(acc["run"]) >= RUN
-        return F.struct(
-            after.alias("state"),
-            F.when(full, out).otherwise(F.concat(acc["run"], out)).alias("run"),
-            F.when(full, F.concat(acc["done"], F.array(acc["run"]))).otherwise(acc["done"]).alias("done"),
-        )
 
-    def all_of(acc: Column) -> Column:
-        last = [finish(acc["state"])] if finish else []
-        return F.concat(F.flatten(acc["done"]), acc["run"], *last)
+    def by_runs(runs: Column) -> Column:
+        before = _gathered(F.transform(runs, lambda r: F.aggregate(r, zero, op)), zero, op, kind)
+        return let(before, lambda first: F.flatten(F.transform(runs, lambda r, j: _gathered(r, F.get(first, j), op, kind))))
+
+    def cut(all_: Column) -> Column:
+        last = F.call_function("div", F.size(all_) - 1, F.lit(RUN)).cast("int")
+        return let(F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(all_, j * RUN + 1, RUN)), by_runs)
+
+    return let(values, cut)
 
-    return F.aggregate(items, start, one, all_of)
+
+def plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def later(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
 
 
 def find(text: Column, pattern: str, needs: tuple[str, ...] = ()) -> Column:
@@ -134,19 +142,23 @@ def find(text: Column, pattern: str, needs: tuple[str, ...] = ()) -> Column:
 
     Places are code points; ``before`` holds up to 24 characters in front.
     """
+    # what stands between the marks: text, match, text, match, ..., text
     parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{_OPEN}$0{_CLOSE}")), f"[{_OPEN}{_CLOSE}]", -1)
-    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("inside"), F.lit("").alias("before"))
 
-    def step(at: Column, part: Column) -> tuple[Column, Column]:
-        end = at["pos"] + F.length(part)
-        one = F.array(F.struct(at["pos"].alias("start"), end.alias("end"), part.alias("body"), at["before"].alias("before")))
-        after = F.struct(end.alias("pos"), (~at["inside"]).alias("inside"), F.when(at["inside"], F.lit("")).otherwise(F.right(part, F.lit(24))).alias("before"))
-        return after, F.when(at["inside"], one).otherwise(empty(MATCH))
+    def placed(ps: Column) -> Column:
+        def each(at: Column) -> Column:
+            def one(i: Column) -> Column:
+                start, body = F.get(at, i), F.get(ps, i)
+                return F.struct(start.alias("start"), (start + F.length(body)).alias("end"), body.alias("body"), F.right(F.get(ps, i - 1), F.lit(24)).alias("before"))
+
+            return F.transform(F.sequence(F.lit(1), F.size(ps) - 2, F.lit(2)), one)
+
+        return F.when(F.size(ps) > 2, let(running(F.transform(ps, F.length), F.lit(0), plus), each)).otherwise(empty(MATCH))
 
     test = F.lit(True)
     for p in needs or (pattern,):
         test = test & text.rlike(p)
-    return F.when(test, loop(parts, start, MATCH, step)).otherwise(empty(MATCH))
+    return F.when(test, let(parts, placed)).otherwise(empty(MATCH))
 
 
 def luhn(digits: Column) -> Column:
@@ -258,21 +270,30 @@ def _judged(candidates: Column, base: Column) -> Column:
             F.transform(candidates, lambda c, i: F.struct(c["end"].alias("at"), F.lit(0).alias("open"), F.lit(0).alias("kind"), F.lit(0).alias("far"), c.withField("i", i).alias("c"))),
         )
     )
-    far = F.struct(*[F.lit(-1).alias(k) for k in BASE])
+    names = ["i", "kind", "start", "end", *FEATURES, "named"]
 
-    def step(state: Column, e: Column) -> tuple[Column, Column]:
-        after = F.struct(*[F.when((e["open"] == 1) & (e["kind"] == k), F.greatest(state[name], e["far"])).otherwise(state[name]).alias(name) for k, name in enumerate(BASE)])
-        c = e["c"]
-        own = F.lit(False)
-        for k, name in reversed(list(enumerate(BASE))):
-            own = F.when(c["kind"] == k, state[name] > c["start"]).otherwise(own)
-        meets = F.greatest(*[state[name] for name in BASE]) > c["start"]
-        label = F.when(own, 1).when(meets, 0).otherwise(c["named"])
-        names = ["i", "kind", "start", "end", *FEATURES, "named"]
-        out = F.array(F.struct(*[c[n].alias(n) for n in names], label.alias("label"), meets.alias("meets")))
-        return after, F.when(e["open"] == 0, out).otherwise(empty(JUDGED))
+    def swept(es: Column) -> Column:
+        """The furthest end of each kind before every event, then the candidates among the events."""
+        none = F.struct(*[F.lit(-1).alias(k) for k in BASE])
+        ends_of = F.transform(es, lambda e: F.struct(*[F.when((e["open"] == 1) & (e["kind"] == k), e["far"]).otherwise(F.lit(-1)).alias(name) for k, name in enumerate(BASE)]))
+        far = running(ends_of, none, lambda a, b: F.struct(*[F.greatest(a[k], b[k]).alias(k) for k in BASE]), "struct<" + ",".join(f"{k}:int" for k in BASE) + ">")
 
-    return F.when(F.size(candidates) > 0, F.array_sort(loop(events, far, JUDGED, step))).otherwise(empty(JUDGED))
+        def each(furthest: Column) -> Column:
+            def one(e: Column, i: Column) -> Column:
+                c, ends = e["c"], [F.get(furthest, i)[k] for k in BASE]
+                own = F.lit(False)
+                for k, end in enumerate(ends):
+                    own = F.when(c["kind"] == k, end > c["start"]).otherwise(own)
+                meets = F.greatest(*ends) > c["start"]
+                label = F.when(own, 1).when(meets, 0).otherwise(c["named"])
+                out = F.struct(*[c[n].alias(n) for n in names], label.alias("label"), meets.alias("meets"))
+                return F.when(e["open"] == 0, out)
+
+            return F.filter(F.transform(es, one), lambda c: c.isNotNull())
+
+        return let(far, each)
+
+    return F.when(F.size(candidates) > 0, F.array_sort(let(events, swept)).cast(f"array<{JUDGED}>")).otherwise(empty(JUDGED))
 
 
 def scan(docs: DataFrame, text: str = "text", keep: bool = True) -> DataFrame:
@@ -316,6 +337,10 @@ def train(scanned: DataFrame, precision: float = 0.9) -> dict[str, boosting.Boos
     return {k: boosting.fit(seen[k], precision, kept[k]) for k in KINDS}
 
 
+def _at_least(least: float):
+    return lambda v: F.when(v >= least, v).otherwise(-1.0)
+
+
 def select(scanned: DataFrame, models: dict[str, boosting.Boosted]) -> DataFrame:
     """scanned with ``spans``: base spans and selected candidates as (start, kind, end), in order."""
     scored = "struct<start:int,end:int,p:double,kind:int>"
@@ -325,8 +350,9 @@ def select(scanned: DataFrame, models: dict[str, boosting.Boosted]) -> DataFrame
         p = F.lit(-1.0)
         for k, name in enumerate(KINDS):
             if models[name].threshold <= 1:
-                q = models[name].column(features)
-                p = F.when(c["kind"] == k, let(q, lambda v, t=models[name].threshold: F.when(v >= t - 1e-9, v).otherwise(-1.0))).otherwise(p)
+                # a lambda of two parameters would be given places for the second
+                least, q = models[name].threshold - 1e-9, models[name].column(features)
+                p = F.when(c["kind"] == k, let(q, _at_least(least))).otherwise(p)
         return F.struct(c["start"].alias("start"), c["end"].alias("end"), p.alias("p"), c["kind"].alias("kind"))
 
     likely = F.filter(F.transform(F.filter("candidates", lambda c: ~c["meets"]), with_p), lambda c: c["p"] > 0)
@@ -334,16 +360,28 @@ def select(scanned: DataFrame, models: dict[str, boosting.Boosted]) -> DataFrame
     def span(c: Column) -> Column:
         return F.array(F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
 
-    def step(last: Column, c: Column) -> tuple[Column, Column]:
-        """The last one goes out if the next begins behind it; else the likelier stays, the longer of two alike, or the first."""
-        free = c["start"] >= last["end"]
-        better = (c["p"] > last["p"]) | ((c["p"] == last["p"]) & (c["end"] - c["start"] > last["end"] - last["start"]))
-        return F.when(free | better, c).otherwise(last), F.when(free & (last["p"] > 0), span(last)).otherwise(empty(SPAN))
+    def of_chain(chain: Column) -> Column:
+        """From left to right: the last one stays if the next begins behind it; else the likelier does, the longer of two alike, or the first."""
+        def step(acc: Column, c: Column) -> Column:
+            last = acc["last"]
+            free = c["start"] >= last["end"]
+            better = (c["p"] > last["p"]) | ((c["p"] == last["p"]) & (c["end"] - c["start"] > last["end"] - last["start"]))
+            return F.struct(F.when(free | better, c).otherwise(last).alias("last"), F.when(free & (last["p"] > 0), F.concat(acc["out"], span(last))).otherwise(acc["out"]).alias("out"))
+
+        nothing = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(-1.0).alias("p"), F.lit(0).alias("kind")).cast(scored)
+        return F.aggregate(chain, F.struct(nothing.alias("last"), empty(SPAN).alias("out")), step, lambda acc: F.concat(acc["out"], span(acc["last"])))
+
+    def chosen(cs: Column) -> Column:
+        """Candidates are cut into chains, each of which begins behind all ends before it."""
+        def chains(furthest: Column) -> Column:
+            begins = F.filter(F.sequence(F.lit(0), F.size(cs) - 1), lambda i: F.get(cs, i)["start"] >= F.get(furthest, i))
+            return let(begins, lambda bs: F.flatten(F.transform(bs, lambda b, j: of_chain(F.slice(cs, b + 1, F.coalesce(F.get(bs, j + 1), F.size(cs)) - b)))))
+
+        return let(running(F.transform(cs, lambda c: c["end"]), F.lit(-1), later), chains)
 
-    nothing = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(-1.0).alias("p"), F.lit(0).alias("kind")).cast(scored)
-    best = loop(F.array_sort("likely"), nothing, SPAN, step, lambda last: F.when(last["p"] > 0, span(last)).otherwise(empty(SPAN)))
     out = scanned.select("row", "base", likely.alias("likely"))
-    return out.select("row", "base", F.when(F.size("likely") > 0, F.array_sort(F.concat("base", best))).otherwise(F.col("base")).alias("spans"))
+    spans = F.array_sort(F.concat("base", let(F.array_sort("likely"), chosen)))
+    return out.select("row", "base", F.when(F.size("likely") > 0, spans).otherwise(F.col("base")).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -371,11 +409,16 @@ def redacted(text: Column, spans: Column) -> Column:
         return F.when(b <= a, empty("string")).when(first == last, one).otherwise(more)
 
     def done(blocks: Column) -> Column:
-        def step(at: Column, s: Column) -> tuple[Column, Column]:
-            out = F.concat(cut(blocks, at, s["start"]), F.array(F.element_at(names, s["kind"] + 1)))
-            return F.greatest(at, s["end"]), F.when(s["start"] >= at, out).otherwise(empty("string"))
+        def whole(at: Column) -> Column:
+            """at: the furthest end before each span."""
+            def one(s: Column, i: Column) -> Column:
+                out = F.concat(cut(blocks, F.get(at, i), s["start"]), F.array(F.element_at(names, s["kind"] + 1)))
+                return F.when(s["start"] >= F.get(at, i), out).otherwise(empty("string"))
+
+            rest = cut(blocks, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text))
+            return F.array_join(F.concat(F.flatten(F.transform(spans, one)), rest), "")
 
-        return F.array_join(loop(spans, F.lit(0), "string", step, lambda at: cut(blocks, at, F.length(text))), "")
+        return let(running(F.transform(spans, lambda s: s["end"]), F.lit(0), later), whole)
 
     return F.when(F.size(spans) > 0, let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)), done)).otherwise(text)
 
