@@ -255,7 +255,7 @@ def pieces(text: bytes, limit: int = GROUP_BYTES) -> Iterator[tuple[bytes, int]]
         yield before + text[at:end], len(before)
         if end == len(text):
             return
-        before = b" ".join(text[at:end].rsplit(None, CONTEXT)[-CONTEXT:]) + b" "
+        before = b" ".join((before + text[at:end]).rsplit(None, CONTEXT)[-CONTEXT:]) + b" "
         at = end
 
 
