@@ -42,33 +42,33 @@ def _weight(column: str, weights: Weights) -> Column:
 
 
 def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Weights], budget: Callable[[Column], Column], max_epochs: int) -> DataFrame:
-    """The budget of each leaf (levels..., tokens): one pass of shares for each level, top down.
+    """The budget of each leaf (levels..., budget), level by level from the top down.
 
-    budget gives that of the root from the sum of all tokens.
+    budget gives that of the root from the sum of all tokens.  In a family those children are filled whose capacity is within
+    their share by weight of what is left; that leaves more to the others, and goes on until no further one is
+    filled.  Each round is a sum for each family, joined back, whatever the number of children: no family is put in order.
     """
-    wide = lambda c: c.cast("decimal(38,0)")
-    state = None
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
+    rooted = leaves.withColumn("root", F.lit(0))
+    parents, families = leaves.agg(budget(F.sum("tokens")).cast("long").alias("b")).withColumn("root", F.lit(0)), 1
     for depth, level in enumerate(levels):
-        above, here = list(levels[:depth]), list(levels[: depth + 1])
-        nodes = leaves.groupBy(*here).agg((F.sum("tokens") * max_epochs).alias("cap"), F.sum("tokens").alias("tokens")).withColumn("w", _weight(level, weights.get(level, {})))
-        family = Window.partitionBy(*above) if above else Window.partitionBy(F.lit(0))
-        # the first level shares the root's budget, each other one its parents', joined by key
-        nodes = nodes.join(state, above) if above else nodes.withColumn("b", budget(F.sum("tokens").over(family)).cast("long"))
-        order = family.orderBy(F.col("cap") / F.col("w"), level)
-        before = order.rowsBetween(Window.unboundedPreceding, -1)
-        nodes = nodes.select(
-            *here, "cap", "w", "b",
-            F.row_number().over(order).alias("k"),
-            (F.col("b") - F.coalesce(F.sum("cap").over(before), F.lit(0))).alias("left"),
-            (F.sum("w").over(family) - F.coalesce(F.sum("w").over(before), F.lit(0))).alias("rest"),
-        )
-        short = wide(F.col("cap")) * wide(F.col("rest")) <= wide(F.col("w")) * wide(F.col("left"))
-        nodes = nodes.withColumn("first", F.min(F.when(~short, F.col("k"))).over(family))
-        nodes = nodes.withColumn("left", F.max(F.when(F.col("k") == F.col("first"), F.col("left"))).over(family))
-        nodes = nodes.withColumn("rest", F.max(F.when(F.col("k") == F.col("first"), F.col("rest"))).over(family))
-        share = F.expr("CAST(CAST(w AS DECIMAL(19,0)) * CAST(left AS DECIMAL(19,0)) div CAST(rest AS DECIMAL(19,0)) AS BIGINT)")
-        state = nodes.select(*here, F.when(F.col("first").isNull() | (F.col("k") < F.col("first")), F.col("cap")).otherwise(share).alias("b"))
-    return state.withColumnRenamed("b", "budget")
+        above = ["root", *levels[:depth]]
+        nodes = rooted.groupBy(*above, level).agg((F.sum("tokens") * max_epochs).alias("cap")).withColumn("w", _weight(level, weights.get(level, {})))
+        nodes = nodes.join(sized(parents, families), above)
+        state = written(nodes.select(*above, level, "cap", "w", "b", F.lit(False).alias("full")), "mix-nodes")
+        while True:
+            taken, open_ = F.sum(F.when(F.col("full"), F.col("cap"))), F.sum(F.when(~F.col("full"), F.col("w")))
+            sums = state.groupBy(*above).agg((F.max("b") - F.coalesce(taken, F.lit(0))).alias("left"), F.coalesce(open_, F.lit(0)).alias("rest"))
+            fits = (F.col("rest") > 0) & (F.col("w") > 0) & (wide("cap") * wide("rest") <= wide("w") * wide("left"))
+            after = state.select(*above, level, "cap", "w", "b", "full").join(sized(sums, families), above).select(*above, level, "cap", "w", "b", (F.col("full") | fits).alias("full"), F.col("full").alias("was"), "left", "rest")
+            old, state = state, written(after, "mix-nodes")
+            dropped(old)
+            if state.where("full AND NOT was").isEmpty():
+                break
+        share = F.expr("CASE WHEN rest = 0 THEN 0L ELSE CAST(CAST(w AS DECIMAL(19,0)) * CAST(left AS DECIMAL(19,0)) div CAST(rest AS DECIMAL(19,0)) AS BIGINT) END")
+        parents = state.select(*above, level, F.when(F.col("full"), F.col("cap")).otherwise(share).alias("b"))
+        families = state.count()
+    return parents.select(*levels, F.col("b").alias("budget"))
 
 
 def _starts(sums: DataFrame, names: Sequence[str], digits: int) -> DataFrame:
