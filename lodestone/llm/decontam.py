@@ -61,22 +61,20 @@ def shingles(words: Column) -> Column:
 
 def _majority(hashes: Column, width: int) -> Column:
     """Bits set in over half of the hashes.  Sums of ``width`` bits lie side by side in one number."""
-    lanes = 64 // width
-    ones = sum(1 << (width * j) for j in range(lanes))
+    ones, low = (F.lit(sum(1 << x for x in places)).cast("long") for places in (range(0, 64, width), range(width)))
+    moved = lambda x, n: F.call_function("shiftrightunsigned", x, n)
 
-    def total(k: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda n, h: n + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ones).cast("long")))
+    def total(k: Column) -> Column:
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda n, h: n + moved(h, k).bitwiseAND(ones))
 
     def bits(sums: Column) -> Column:
-        out = F.lit(0).cast("long")
-        for k in range(width):
-            for j in range(lanes):
-                count = F.shiftrightunsigned(sums[k], width * j).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-                bit = 1 << (width * j + k)
-                out = out.bitwiseOR(F.when(2 * count > F.size(hashes), F.lit(bit if bit < 1 << 63 else bit - (1 << 64)).cast("long")).otherwise(F.lit(0).cast("long")))
-        return out
+        def one(i: Column) -> Column:
+            count = moved(F.get(sums, i % width), i - i % width).bitwiseAND(low)
+            return F.when(2 * count > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
 
-    return let(F.array(*[total(k) for k in range(width)]), bits)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda n, i: n.bitwiseOR(one(i)))
+
+    return let(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), total), bits)
 
 
 def fingerprint(hashes: Column) -> Column:
@@ -116,18 +114,14 @@ def _near_values(fp: Column) -> Column:
     out = []
     for k, (_, width) in enumerate(_cuts()):
         masks = [sum(1 << b for b in c) for n in range(BLOCK_RADIUS + 1) for c in combinations(range(width), n)]
-        own = _block(fp, k)
-        values = F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), _xor_with(own))
-        out.append(F.transform(values, _tagged(k)))
+        # one text, which Spark turns into one array before the plan runs
+        listed = F.transform(F.split(F.lit(" ".join(map(str, masks))), " "), lambda m: m.cast("long"))
+        out.append(F.transform(listed, _near(k, _block(fp, k))))
     return F.concat(*out)
 
 
-def _xor_with(own: Column):
-    return lambda m: own.bitwiseXOR(m)
-
-
-def _tagged(k: int):
-    return lambda v: F.struct(F.lit(k).alias("block"), v.alias("value"))
+def _near(k: int, own: Column):
+    return lambda m: F.struct(F.lit(k).alias("block"), own.bitwiseXOR(m).alias("value"))
 
 
 def items(benchmark: DataFrame) -> DataFrame:
