@@ -22,7 +22,7 @@ rows the score is 0.5; if labels choose no voter, the score is near their mean.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,8 +44,8 @@ QUIET = 20  # words of a text in which a lexicon voter that finds nothing says n
 SAYS_TOXIC, SAYS_NOT, SILENT = 1, 0, 2
 
 
-def view_features(texts: list[bytes]) -> dict[str, list[np.ndarray]]:
-    """For each view the hashes of what each text holds, repeats included."""
+def view_features(texts: list[bytes], views: Iterable[str]) -> tuple[np.ndarray, dict[str, list[np.ndarray]]]:
+    """The number of words of each text, and for each view the hashes of what it holds, repeats included."""
     w = Words(texts, symbols=KINDS["symbols"])
     length = w.end - w.start
 
@@ -64,11 +64,12 @@ def view_features(texts: list[bytes]) -> dict[str, list[np.ndarray]]:
         long = length >= first + INSIDE
         return w.doc[long], mix(w.span_hash(w.start[long] + first, w.start[long] + first + INSIDE) + np.uint64(7))
 
-    return {
-        "words": cut([(w.doc, w.hashes())]),
-        "beginnings": cut([beginnings(n) for n in PREFIXES]),
-        "inside": cut([inside(k) for k in range(1, 8)]),
+    parts = {
+        "words": lambda: [(w.doc, w.hashes())],
+        "beginnings": lambda: [beginnings(n) for n in PREFIXES],
+        "inside": lambda: [inside(k) for k in range(1, 8)],
     }
+    return np.bincount(w.doc, minlength=len(texts)), {v: cut(parts[v]()) for v in views}
 
 
 def find_lexicon(features: list[np.ndarray], y: np.ndarray, size: int, cover: int = 3) -> np.ndarray:
@@ -78,6 +79,10 @@ def find_lexicon(features: list[np.ndarray], y: np.ndarray, size: int, cover: in
     all kinds and languages of toxic texts instead of many forms of the most frequent words.
     """
     sets = [np.unique(f) for f in features]
+    # an entry is in three toxic texts at least; all else goes before the other texts are put together
+    some, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for x, label in zip(sets, y) if label == 1)]), return_counts=True)
+    some = some[n >= 3]
+    sets = [x[np.isin(x, some, assume_unique=True)] for x in sets]
     key, inverse = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
     if not len(key) or not (y == 1).any():
         return key[:0]
@@ -111,6 +116,8 @@ def lexicon_votes(features: list[np.ndarray], n_words: np.ndarray, lexicon: np.n
     order = np.argsort(lexicon)
     ranked = lexicon[order]
     out = np.full((len(features), voters), SILENT, np.int8)
+    if not voters:
+        return out
     out[n_words >= QUIET] = SAYS_NOT
     for r, f in enumerate(features):
         at = np.searchsorted(ranked, f)
@@ -211,32 +218,29 @@ def fit(ids, texts, labels, bits: int = BITS, epochs: int = 6) -> tuple[np.ndarr
     texts, labels = [texts[k] for k in order], np.asarray(labels, float)[order]
     known = np.isin(labels, (0, 1))
     y = labels[known].astype(int)
-    seen: dict[str, list[np.ndarray]] = {k: [] for k in VIEWS}
-    rows, n_words, patterns = [], [], []
+    named = [t for t, k in zip(texts, known) if k]
+    lexicons = {}
+    for view, (_, size) in VIEWS.items():  # one view at a time, so that memory holds the features of one
+        found = [np.unique(f) for _, group in groups(named) for f in view_features(group, [view])[1][view]]
+        lexicons[view] = find_lexicon(found, y, size)
+    entries = {v: len(x) for v, x in lexicons.items()}
+    rows, votes, patterns = [], [], []
     for _, group in groups(texts):
-        found = view_features(group)
-        n = np.array([len(f) for f in found["words"]])
-        n_words.append(n)
+        n, found = view_features(group, VIEWS)
+        votes.append(np.concatenate([lexicon_votes(found[v], n, x, min(VIEWS[v][0], len(x))) for v, x in lexicons.items()], 1))
         patterns.append(pattern_votes(group, n))
-        for k in VIEWS:
-            seen[k] += found[k]
         doc, index, count = linear.ngram_features(group, bits, **{k: x for k, x in KINDS.items() if k != "scaled"})
-        rows += linear.rows_of(doc, index, linear.values(doc, count, len(group), KINDS["scaled"]), len(group))
-    words = np.concatenate(n_words)
-    columns, entries = [], {}
-    for view, (voters, size) in VIEWS.items():
-        lexicon = find_lexicon([f for f, k in zip(seen[view], known) if k], y, size)
-        entries[view] = len(lexicon)
-        if len(lexicon):
-            columns.append(lexicon_votes(seen[view], words, lexicon, min(voters, len(lexicon))))
+        value = linear.values(doc, count, len(group), KINDS["scaled"]).astype(np.float32)
+        rows += linear.rows_of(doc, index.astype(np.int32), value, len(group))
+    columns = [np.concatenate(votes)]
     fired = np.concatenate(patterns)
     for k in range(fired.shape[1]):
         said = fired[known, k] == SAYS_TOXIC
         if said.sum() >= 5 and y[said].mean() > 0.5:
             columns.append(fired[:, k : k + 1])
+    v = np.concatenate(columns, 1)
     report = {"lexicon": entries, "voters": 0, "rows": len(texts), "labelled": int(known.sum())}
-    if columns:
-        v = np.concatenate(columns, 1)
+    if v.shape[1]:
         model = LabelModel().fit(v, np.where((v == SAYS_TOXIC).sum(1) > min(1, v.shape[1] - 1), 0.9, 0.1))
         target = model.posterior(v)
         report |= {
