@@ -131,15 +131,16 @@ def links(points: DataFrame, radius: int = 3, blocks: int = BLOCKS[0]) -> DataFr
         mask = sum(masks[b] & ((1 << 64) - 1) for b in g)
         grids.append((sum(1 << b for b in g), mask - (1 << 64) if mask >= 1 << 63 else mask))
     embedded = points.select("fp", segment_counts(F.col("fp")).alias("point"))
-    each = F.array(*[F.struct(F.lit(bits).alias("grid"), F.lit((1 << bits.bit_length()) - 1).alias("up_to"), F.col("point").bitwiseAND(F.lit(m).cast("long")).alias("cell")) for bits, m in grids])
+    each = F.array(*[F.struct(F.lit(bits).alias("grid"), F.col("point").bitwiseAND(F.lit(m).cast("long")).alias("cell")) for bits, m in grids])
     cells = embedded.select("fp", "point", F.inline(each))
     a, b = cells.alias("a"), cells.alias("b")
-    # blocks in which the two points agree, as bits; the pair belongs to the grid of the first ones among them, which
-    # is the one whose blocks are all the agreeing ones up to its last
+    # blocks in which the two points agree, as bits; the pair belongs to the grid of the first ones among them: if they
+    # agree in further blocks, the first of these comes behind all of the grid's
     agree = "(" + "+".join(f"CASE WHEN ((a.point ^ b.point) & {m}L) = 0 THEN {1 << i} ELSE 0 END" for i, m in enumerate(masks)) + ")"
     near = manhattan("a.point", "b.point") <= radius
     exact = F.expr("bit_count(a.fp ^ b.fp)") <= radius
-    first = F.expr(f"({agree} & a.up_to) = a.grid")
+    more = f"({agree} ^ a.grid)"
+    first = F.expr(f"{more} = 0 OR ({more} & -{more}) > a.grid")
     return a.join(
         b, (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp")) & near & exact & first
     ).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
